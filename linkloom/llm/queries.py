@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, mixing, pii, secrets, topk
+from . import bpe, decontam, mixing, pii, secrets, substring, topk
 from ._common import read
 
 
@@ -37,6 +37,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.remove_repeats(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_source_mix,
         op7_decontamination,
         op8_secrets,
+        op10_substring_dedup,
     )
 }
 
@@ -94,4 +99,21 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_items, 0) >= 2 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
     """,
+    "op10_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), win AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+        ), gone AS (
+            SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS p
+            FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS m FROM win) WHERE m < doc_id GROUP BY doc_id
+        ), o AS (
+            SELECT d.doc_id, w, coalesce(p, []) AS p FROM d LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(p, i)), ' ')) AS kept_sha256
+        FROM o
+    """,
 }

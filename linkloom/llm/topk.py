@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 BLOCK, RANGE, CHUNK = 64, 2048, 2048
+#: Below every score (and its negative is a number, unlike that of the least integer).
+NONE = -(1 << 62)
 MATRIX = "n long, ids binary, data binary, dim int"
 HITS = "query_id long, vec_id long, score long"
 
@@ -104,7 +106,7 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.nd
     up = np.maximum(q, 0)
     bounds = _exact(up, tops) + _exact(q - up, lows)
     visit = np.argsort(-bounds, axis=1, kind="stable")
-    best_s = np.full((len(q), k), np.iinfo(np.int64).min)
+    best_s = np.full((len(q), k), NONE)
     best_i = np.full((len(q), k), np.iinfo(np.int64).max)
     need = floors.copy()
     live = np.arange(len(q))
@@ -118,12 +120,12 @@ def search_cell(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.nd
             who = live[at == c]
             s = _exact(q[who], m[cuts[c] : cuts[c] + block])
             own = np.broadcast_to(ids[cuts[c] : cuts[c] + block], s.shape)
-            s = np.where(own == q_ids[who, None], np.iinfo(np.int64).min, s)
+            s = np.where(own == q_ids[who, None], NONE, s)
             all_s, all_i = np.concatenate((best_s[who], s), 1), np.concatenate((best_i[who], own), 1)
             pick = np.lexsort((all_i, -all_s), axis=1)[:, :k]
             best_s[who], best_i[who] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
             need[who] = np.maximum(need[who], best_s[who, -1])
-    keep = (best_s > np.iinfo(np.int64).min) & (best_s >= floors[:, None])
+    keep = (best_s > NONE) & (best_s >= floors[:, None])
     rows, cols = np.nonzero(keep)
     return list(zip(q_ids[rows].tolist(), best_i[rows, cols].tolist(), best_s[rows, cols].tolist()))
 
@@ -135,10 +137,9 @@ def _cells(queries: DataFrame, ranges: DataFrame, k: int, schema: str, seed: boo
         hits: list[tuple[int, int, int]] = []
         floors_of: list[tuple[int, bytes]] = []
         parts = [_matrix(r) for r in right.to_pylist()]
-        low = np.iinfo(np.int64).min
         for row in left.to_pylist():
             q_ids, q = _matrix(row)
-            floors = np.full(len(q_ids), low) if seed or row["floor"] is None else np.frombuffer(row["floor"], np.int64)
+            floors = np.full(len(q_ids), NONE) if seed or row["floor"] is None else np.frombuffer(row["floor"], np.int64)
             found = [h for ids, m in parts for h in search_cell(q_ids, q, floors, ids, m, k)]
             if not seed:
                 hits += found
