@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, mixing, pii, secrets, substring, topk
+from . import bpe, decontam, mixing, pii, quality, secrets, substring, topk
 from ._common import read
 
 
@@ -37,6 +37,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.remove_repeats(read(spark, sf_dir, "documents")))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_source_mix,
         op7_decontamination,
         op8_secrets,
+        op9_quality,
         op10_substring_dedup,
     )
 }
