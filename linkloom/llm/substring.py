@@ -17,18 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, materialize, mix, slices, windows, word_hashes
+from ._common import as_bytes, mix, slices, windows, word_hashes
 
 K = 13
 DEPTH = 2
 #: Cells in a row of the sketch: two for each window, 2**28 at most (64 MB of bits for both rows).
 MIN_CELLS, MAX_CELLS, SHARD = 1 << 20, 1 << 28, 1 << 20
 #: Windows that a task sorts at once.
-CHUNK = 2_000_000
+CHUNK = 1_500_000
 
 
 def _window_stream(batches: Iterator[pa.RecordBatch], k: int, exact: bool) -> Iterator[tuple[np.ndarray, ...]]:
@@ -123,25 +123,72 @@ def _sketch(docs: DataFrame, k: int, cells: int) -> np.ndarray:
     return bits
 
 
-def _suspects(docs: DataFrame, k: int, cells: int, bits) -> DataFrame:
-    """Windows estimated repeated: h, c, doc; known: a smaller document of this task holds the window as well."""
+def _zip(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unzip(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd"), kind)
+
+
+def _repeated(docs: DataFrame, k: int, cells: int, bits, parts: int) -> DataFrame:
+    """doc, h of the windows that a document with a smaller key holds as well.
+
+    Windows that the sketch estimates repeated travel packed by part of the hash space. Those that a smaller document
+    of the same task holds need no answer: they travel by document, in parts of their own.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
+        shift = np.uint64(64 - parts.bit_length() + 1)
         for h, doc, c in _window_stream(batches, k, True):
             keep = np.ones(len(h), bool)
             for row in range(DEPTH):
-                at = cells_of(h, row, cells).astype(np.int64) + row * cells
-                keep &= (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                at = cells_of(h[keep], row, cells).astype(np.int64) + row * cells
+                keep[keep] = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             h, doc, c = h[keep], doc[keep], c[keep]
             known = np.zeros(len(h), bool)
             # Sorted by (h, doc): a row after one of the same window has a smaller document before it.
             known[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-            for a in range(0, len(h), 200_000):
-                z = slice(a, a + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(c[z]), pa.array(doc[z]), pa.array(known[z])], names=["h", "c", "doc", "known"])
+            part = np.where(known, parts + (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64), (h >> shift).astype(np.int64) if parts > 1 else 0)
+            order = np.argsort(part, kind="stable")
+            h, doc, c, part = h[order], doc[order], c[order], part[order]
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else []
+            rows = [
+                (int(part[i]), j - i, _zip(np.diff(h[i:j], prepend=np.uint64(0))), c[i:j].tobytes(), _zip(doc[i:j])) for i, j in zip(cut, cut[1:])
+            ]
+            for i in range(0, len(rows), 512):
+                cols = zip(zip(*rows[i : i + 512]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in cols], names=["part", "n", "h", "c", "doc"])
 
-    return docs.mapInArrow(run, "h long, c int, doc long, known boolean")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, c, doc = (np.concatenate(x) for x in zip(*held))
+            if now < parts:
+                order = np.lexsort((doc, c, h))
+                h, c, doc = h[order], c[order], doc[order]
+                start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
+                first = np.repeat(doc[start], np.diff(np.append(start, len(h))))
+                h, doc = h[doc > first], doc[doc > first]
+            for a in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 100_000]), pa.array(h[a : a + 100_000].view(np.int64))], names=["doc", "h"])
+
+        for b in batches:
+            for p, n, h, c, doc in zip(*(x.to_pylist() for x in b.columns)):
+                if p != now or p >= parts and len(held) >= 64:
+                    if now is not None:
+                        yield from out()
+                    now, held = p, []
+                held.append((np.cumsum(_unzip(h, n, np.uint64), dtype=np.uint64), np.frombuffer(c, np.int32), _unzip(doc, n, np.int64)))
+        if now is not None:
+            yield from out()
+
+    spark = docs.sparkSession
+    tasks = max(1, min(2 * parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    packed = docs.mapInArrow(build, "part int, n int, h binary, c binary, doc binary")
+    return packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "doc long, h long")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -159,9 +206,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     while cells < min(max_cells, n_bytes // 3):
         cells *= 2
     bits = spark.sparkContext.broadcast(_sketch(plain, k, cells).tobytes())
-    found = materialize(_suspects(plain, k, cells, bits), "suspects")
-    asked = found.filter(~F.col("known")).withColumn("_first", F.min("doc").over(Window.partitionBy("h", "c")))
-    lost = found.filter("known").select("doc", "h").unionByName(asked.filter(F.col("doc") > F.col("_first")).select("doc", "h"))
+    parts = 1
+    while parts < n_bytes / 6 / (1 << 20):
+        parts *= 2
+    lost = _repeated(plain, k, cells, bits, parts)
     lists = lost.groupBy("doc").agg(F.collect_list("h").alias("lost"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
