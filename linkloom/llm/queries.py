@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lm, mixing, pii, quality, secrets, substring, topk
+from . import bpe, decontam, jaccard, lm, mixing, pii, quality, secrets, substring, topk
 from ._common import read
 
 
@@ -29,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_lm_scores,
         op3_pii,
         op4_token_counts,
+        op5_jaccard_join,
         op6_source_mix,
         op7_decontamination,
         op8_secrets,
@@ -83,6 +88,26 @@ ORACLE_SQL: dict[str, str] = {
                vec_id, score
         FROM s QUALIFY rank <= 5
     """,
+    "op5_jaccard_join": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), g AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)
+        ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), link AS MATERIALIZED (
+            SELECT a, b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+            ) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * i >= 90 * (na.n + nb.n - i)
+        ), reach AS (
+            SELECT doc_id, doc_id AS to_id FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.to_id
+        )
+        SELECT documents.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+        FROM documents LEFT JOIN n USING (doc_id)
+        JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """,
     "op7_decontamination": rf"""
         WITH d AS (
             SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
