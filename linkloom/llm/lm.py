@@ -129,8 +129,9 @@ def log_probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tot
     return np.log10(p + (1 - PAIR - WORD) / (distinct + 1))
 
 
-def _count(train: DataFrame, shards: int) -> DataFrame:
-    """Packed sums: order (1 word, 2 pair), shard, entries, total, h, n (arrays as bytes), bits (filter)."""
+def _count(train: DataFrame, shards: int, orders: tuple[int, ...] = (1,)) -> DataFrame:
+    """Sums by order (1 word, 2 pair) and shard: a row with entries, total and bits (the shard's filter), and for the
+    orders in `orders` rows with the counts themselves, h and n (arrays as bytes)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -171,18 +172,23 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
             hs, ns, waiting = [h[first]], [np.add.reduceat(n, first) if len(h) else n], 0
 
-        def out() -> pa.RecordBatch:
+        def row(entries: int, total: int, bits: bytes | None, h: bytes | None, n: bytes | None) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            cols = [pa.array([x], t) for x, t in zip((*now, entries, total, bits, h, n), kinds)]
+            return pa.RecordBatch.from_arrays(cols, names=["ord", "shard", "entries", "total", "bits", "h", "n"])
+
+        def out() -> Iterator[pa.RecordBatch]:
             shrink()
             h, n = hs[0], ns[0]
-            row = ([now[0]], [now[1]], [len(h)], [int(n.sum())], [h.tobytes()], [n.tobytes()], [build_filter(h, n)])
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["ord", "shard", "entries", "total", "h", "n", "bits"])
+            yield row(len(h), int(n.sum()), build_filter(h, n), None, None)
+            for i in range(0, len(h) if now[0] in orders else 0, 50_000):
+                yield row(0, 0, None, h[i : i + 50_000].tobytes(), n[i : i + 50_000].tobytes())
 
         for b in batches:
             for order, s, h, n in zip(*(c.to_pylist() for c in b.columns)):
                 if (order, s) != now:
                     if now is not None:
-                        yield out()
+                        yield from out()
                     now, hs, ns, waiting = (order, s), [], [], 0
                 hs.append(np.frombuffer(h, np.uint64))
                 ns.append(np.frombuffer(pa.decompress(n, len(h) // 2, "zstd"), np.uint32).astype(np.int64))
@@ -190,12 +196,12 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
                 if waiting > 4_000_000:
                     shrink()
         if now is not None:
-            yield out()
+            yield from out()
 
     spark = train.sparkSession
     parts = max(1, min(2 * shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     packed = train.mapInArrow(build, "ord int, shard int, h binary, n binary").repartition(parts, "ord", "shard").sortWithinPartitions("ord", "shard")
-    return packed.mapInArrow(merge, "ord int, shard int, entries long, total long, h binary, n binary, bits binary")
+    return packed.mapInArrow(merge, "ord int, shard int, entries long, total long, bits binary, h binary, n binary")
 
 
 def _rows(counts: DataFrame) -> DataFrame:
@@ -208,7 +214,7 @@ def _rows(counts: DataFrame) -> DataFrame:
                 for a in range(0, len(h), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["h", "c"])
 
-    return counts.select("h", "n").mapInArrow(run, "h long, c long")
+    return counts.filter("h is not null").select("h", "n").mapInArrow(run, "h long, c long")
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
@@ -239,7 +245,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     by_filter = (size.bytes or 0) <= broadcast_bytes
     parts = {}
     if by_filter:
-        for r in counts.select("ord", "shard", "bits").toLocalIterator():
+        for r in counts.filter("bits is not null").select("ord", "shard", "bits").toLocalIterator():
             parts[(r.ord - 1) * shards + r.shard] = bytes(r.bits)
     shared = spark.sparkContext.broadcast(Filter(shards, parts))
     parts = None
@@ -282,6 +288,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     more = rare.join(words, "h").groupBy("_row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("_b"), F.sum("m").alias("_k"))
     out = first.drop("_rare").join(more, "_row", "left")
     if not by_filter:
+        counts = materialize(_count(plain.filter(~F.col("held_out")).select("_text"), shards, (1, 2)), "ngrams")
         out = out.drop("score").join(_scores_by_join(plain, counts, total, distinct), "_row", "left")
     none = F.lit(0.0)
     base = F.col("_base") + F.coalesce("_b", none) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
