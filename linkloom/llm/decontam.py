@@ -9,7 +9,7 @@ memory. Texts are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -95,17 +95,14 @@ def decontaminate(
     n_hit: hit words. One row for each input row. A null or wordless text has no words and no hits; a null or
     wordless item never occurs; repeated items count once by id; an empty benchmark hits nothing.
     """
-    schema = T.StructType(
-        [
-            T.StructField(key, docs.schema[key].dataType),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_hit", T.LongType()),
-            T.StructField("items", T.ArrayType(T.StringType())),
-            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        ]
-    )
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(items, item, item_text, block_bytes)]
+    fields = [
+        T.StructField(key, docs.schema[key].dataType),
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    ]
+    find = _finder(_broadcast_blocks(items, item, item_text, block_bytes), k)
     arrow = pa.schema(
         [
             ("n_words", pa.int64()),
@@ -116,27 +113,58 @@ def decontaminate(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Automaton(blocks[0].value, k) if len(blocks) == 1 else None
         for b in batches:
-            texts = [fold(t) for t in as_bytes(b.column(1))]
-            words = [t.split() for t in texts]
-            hits: list[np.ndarray | None] = [None] * len(texts)
-            names: list[set[str]] = [set() for _ in texts]
-            for block in blocks:
-                a = one or Automaton(block.value, k)
-                for i, w in enumerate(words):
-                    h, found = a.scan(w)
-                    names[i].update(a.names[x] for x in found)
-                    if h is not None:
-                        hits[i] = h if hits[i] is None else hits[i] | h
             rows = [
-                {"n_words": len(w), "n_hit": 0 if h is None else int(h.sum()), "items": sorted(n), "spans": [] if h is None else _spans(t, h)}
-                for t, w, h, n in zip(texts, words, hits, names)
+                {"n_words": n, "n_hit": 0 if h is None else int(h.sum()), "items": sorted(found), "spans": [] if h is None else _spans(t, h)}
+                for t, n, h, found in find(as_bytes(b.column(1)))
             ]
             out = pa.RecordBatch.from_pylist(rows, schema=arrow)
             yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], names=[key, *arrow.names])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(run, T.StructType(fields))
+
+
+def clean_documents(
+    docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 8, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The documents with fewer than k hit words and fewer than two items found. Columns stay as they are."""
+    find = _finder(_broadcast_blocks(items, item, item_text, block_bytes), k)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [(h is None or int(h.sum()) < k) and len(found) < 2 for _, _, h, found in find(as_bytes(b.column(at)))]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _broadcast_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> list:
+    sc = items.sparkSession.sparkContext
+    return [sc.broadcast(b) for b in _blocks(items, item, text, block_bytes)]
+
+
+def _finder(blocks: list, k: int) -> Callable[[list[bytes | None]], Iterator[tuple]]:
+    """A function that gives, for each text: its folded bytes, words, hit words (None: none) and items found."""
+    made: list[Automaton] = []
+
+    def find(texts: list[bytes | None]) -> Iterator[tuple]:
+        folded = [fold(t) for t in texts]
+        words = [t.split() for t in folded]
+        hits: list[np.ndarray | None] = [None] * len(texts)
+        names: list[set[str]] = [set() for _ in texts]
+        if len(blocks) == 1 and not made:
+            made.append(Automaton(blocks[0].value, k))
+        for block in blocks:
+            a = made[0] if made else Automaton(block.value, k)
+            for i, w in enumerate(words):
+                h, found = a.scan(w)
+                names[i].update(a.names[x] for x in found)
+                if h is not None:
+                    hits[i] = h if hits[i] is None else hits[i] | h
+        return zip(folded, map(len, words), hits, names)
+
+    return find
 
 
 def _spans(folded: bytes, hits: np.ndarray) -> list[dict[str, int]]:

@@ -418,3 +418,43 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     return out.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 
+
+
+#: Keys to leave out are broadcast up to this many; beyond it they are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents with one of each class kept: the one with the smallest key. Columns stay as they are.
+
+    A null or wordless text is in no class and stays. Of rows equal in key and shingles one stays. A class whose keys
+    are all null keeps one row.
+    """
+    sets, links = similar_sets(docs, key, text, k, num, den)
+    comps = connected_components(links).withColumnRenamed("id", "set")
+    place = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("set"))
+    rows = sets.filter("set is not null").join(comps, "set", "left").select(F.coalesce("component", "set").alias("comp"), place.alias("place"))
+    rows = materialize(rows.groupBy("comp", "place").agg(F.count("*").alias("rows")), "rows")
+    best = rows.groupBy("comp").agg(F.min("place").alias("best"))
+    judged = rows.join(best, "comp").select(F.col("place.doc").alias("_d"), F.col("place.set").alias("_s"), (F.col("place") == F.col("best")).alias("_best"), "rows")
+    judged = materialize(judged.filter("not _best or rows > 1"), "judged")
+
+    fields = docs.columns
+    at = fields.index(text)
+
+    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, text):
+                _, sizes, ids, _ = _sets(as_bytes(b.column(at)), k)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids.view(np.int64), mask=sizes == 0)], names=[*fields, "_s"])
+
+    schema = docs.withColumn("_s", F.lit(0).cast("long")).schema
+    own = docs.mapInArrow(with_set, schema).withColumn("_d", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)))
+    hint = F.broadcast if judged.count() <= BROADCAST_KEYS else (lambda df: df)
+    kept = own.join(hint(judged.filter("not _best").select("_d", "_s")), ["_d", "_s"], "left_anti")
+    again = judged.filter("_best").select("_d", "_s")
+    if not again.isEmpty():
+        kept = kept.join(hint(again), ["_d", "_s"], "left_anti").unionByName(
+            kept.join(hint(again), ["_d", "_s"], "left_semi").dropDuplicates(["_d", "_s"])
+        )
+    return kept.select(*fields)

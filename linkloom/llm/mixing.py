@@ -7,7 +7,7 @@ the cell that holds the cut are sorted. So a source with a third of all rows is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, n_words
@@ -53,6 +53,10 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     return table.select("_source", "source_size", F.least(F.col("_w") * level, cap).alias("target"))
 
 
+def row_hash(key: str, text: str, seed: int = 20) -> Column:
+    return F.xxhash64(F.col(key), F.col(text), F.lit(seed))
+
+
 def mix_sources(
     docs: DataFrame,
     key: str = "doc_id",
@@ -64,7 +68,7 @@ def mix_sources(
     seed: int = 20,
     cells: int = 4096,
 ) -> DataFrame:
-    """Returns key, size (words), source_size, target, copies and taken (copies times size), a row for each input row.
+    """Returns key, size (words), source_size, target, copies, row_hash and taken (copies times size), a row for each input row.
 
     A source's ratio of target to size gives every document its whole copies; the rest of the target is filled by
     ranking documents by random odds over inclusion odds (times `weight`, a column of positive numbers; null: 1) and
@@ -78,7 +82,7 @@ def mix_sources(
             F.col(key).alias("_key"),
             F.col(source).cast("string").alias("_source"),
             n_words(F.col(text)).alias("size"),
-            F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("_h"),
+            row_hash(key, text, seed).alias("_h"),
             extra.alias("_extra"),
         ),
         "sized",
@@ -109,7 +113,7 @@ def mix_sources(
     # A source without a cut has nothing left to fill, or (by rounding) less than a word.
     ranked = ranked.join(small(cut), "_s", "left").withColumn("_cut", F.coalesce("_cut", F.lit(-1)))
     out = lambda df, more: df.select(
-        F.col("_key").alias(key), "size", "source_size", "target", (F.col("_whole") + more).cast("long").alias("copies")
+        F.col("_key").alias(key), "size", "source_size", "target", (F.col("_whole") + more).cast("long").alias("copies"), F.col("_h").alias("row_hash")
     ).withColumn("taken", F.col("size") * F.col("copies"))
     running = F.sum("size").over(
         Window.partitionBy("_s").orderBy("_t", "_h", "_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -117,3 +121,20 @@ def mix_sources(
     edge = ranked.filter(F.col("_cell") == F.col("_cut")).withColumn("_mid", F.col("_base") + running - F.col("size") / 2)
     clear = out(ranked.filter(F.col("_cell") != F.col("_cut")), F.when(F.col("_cell") < F.col("_cut"), 1).otherwise(0))
     return clear.unionByName(out(edge, F.when(F.col("_mid") <= F.col("_rest"), 1).otherwise(0)))
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, with `copies` and `taken` added (columns of those names are replaced).
+
+    Rows equal in key and text become one row with the sum of their copies.
+    """
+    seed = options.get("seed", 20)
+    mix = mix_sources(docs, key, text, source, **options).groupBy("row_hash").agg(
+        F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count("*").alias("_rows")
+    )
+    mix = materialize(mix.filter("copies > 0"), "mix")
+    own = docs.drop("copies", "taken", "row_hash", "_rows").withColumn("row_hash", row_hash(key, text, seed))
+    out = own.join(mix, "row_hash")
+    if not mix.filter("_rows > 1").isEmpty():
+        out = out.filter("_rows = 1").unionByName(out.filter("_rows > 1").dropDuplicates(["row_hash"]))
+    return out.drop("row_hash", "_rows")
