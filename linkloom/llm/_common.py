@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.sources.scratch import materialize  # noqa: F401  (re-exported for the operators)
+from linkloom.sources.scratch import drop_table, free_shuffles, materialize  # noqa: F401  (re-exported for the operators)
 
 #: Java class of the characters between words.
 SPACE_CLASS = "\\x20\\x09-\\x0D"
@@ -33,7 +33,7 @@ def as_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return col.cast(kind).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, col: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, col: str, most: int = 2 << 20):
     """Consecutive parts of a batch that hold about `most` bytes of `col` each (one row at least)."""
     if not batch.num_rows:
         return

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, mix, slices, windows, word_hashes
+from ._common import as_bytes, free_shuffles, mix, slices, windows, word_hashes
 
 K = 13
 DEPTH = 2
 #: Cells in a row of the sketch: two for each window, 2**28 at most (64 MB of bits for both rows).
 MIN_CELLS, MAX_CELLS, SHARD = 1 << 20, 1 << 28, 1 << 20
 #: Windows that a task sorts at once.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 
 
 def _window_stream(batches: Iterator[pa.RecordBatch], k: int, exact: bool) -> Iterator[tuple[np.ndarray, ...]]:
@@ -206,6 +206,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     while cells < min(max_cells, n_bytes // 3):
         cells *= 2
     bits = spark.sparkContext.broadcast(_sketch(plain, k, cells).tobytes())
+    free_shuffles(spark)
     parts = 1
     while parts < n_bytes / 6 / (1 << 20):
         parts *= 2
