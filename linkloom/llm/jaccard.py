@@ -9,9 +9,11 @@ else. A set that has too few left takes its passed segments back, largest first,
 the index for it, so nothing is lost.
 
 Equal sets are one set. Signatures travel packed by part of the hash space. Sets in one bucket are first verified
-against the bucket's leader (a star, never all pairs) and their components found; only buckets that still hold several
-components are searched further, in cells of bounded size, between sets of different components. So neither copies
-nor near copies are ever expanded into pairs, and no link between components is missed.
+against the bucket's leader (a star, never all pairs) and their components found. Only where several components are left is the
+search carried on, between sets of different components: pair by pair in buckets of up to HEAVY sets, and in cells of
+a grid, bounded in sets and bytes, in larger ones. Before that, sets give up large buckets as far as their tolerances
+allow, so that common passages make no work. Neither copies nor near copies are ever expanded into pairs, and no link
+between components is missed.
 """
 
 from __future__ import annotations
@@ -22,17 +24,21 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.components import connected_components
 
-from ._common import as_bytes, materialize, mix, slices, windows, word_hashes
+from ._common import as_bytes, free_shuffles, materialize, mix, slices, windows, word_hashes
 
 #: Sets up to this size have flexible segments only; subsets up to SMALL members are passed over.
-ALL_FLEX, SMALL = 48, 1
+ALL_FLEX, SMALL, ROOM = 48, 0, 1.1
 GROWTH = 1.35
+#: Below it, the bits of a signature that describe the entry.
+LOW = 1 << 8
 CHUNK = 1_500_000
+#: Buckets of more sets are searched in cells of a grid, others pair by pair.
+HEAVY = 32
 #: A cell's sets and text bytes, at most (one set at least).
 CELL_SETS, CELL_BYTES = 256, 4 << 20
 
@@ -73,9 +79,11 @@ class Scheme:
                 m = (gap + 2) // 2
                 f = m
             else:
+                # Room for the small subsets that are passed over (their share by Poisson), and some to spare.
                 m = gap + 1
-                mean = 0.9 * high / m
-                f = min(m, int(1.2 * m * exp(-mean) * (1 + mean)) + 2)
+                while m * (1 - exp(-high / m)) < ROOM * (gap + 1):
+                    m += 1 + m // 100
+                f = min(m, 2 + int((m * exp(-high / m)) ** 0.5))
             self.low.append(low)
             self.high.append(high)
             self.segments.append(m)
@@ -91,10 +99,12 @@ class Scheme:
         return self.den * inter >= self.num * union
 
     def signatures(self, s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of sets (probe in the lowest bit) and the set of each.
+        """Signatures of sets and the set of each.
 
         s: members of all sets, set by set; sizes: members of each set, none empty. Every set is entered in its own
-        band and, if a similar set may be in the next, in that one.
+        band and, if a similar set may be in the next, in that one. The low bits of a signature say what an entry can
+        do: bit 0, it is a probe; bit 1, the band is the next one; bit 2, giving it up costs two; bits 3 to 7, what
+        the set can give up in this band (31 at most).
         """
         own = np.searchsorted(self.low, sizes, "right") - 1
         reach = sizes * self.den // self.num
@@ -138,10 +148,12 @@ class Scheme:
         probe = ~passed
         inner = flex[slot]
         dels = mix(sums[slot[inner]] - members[inner] + key[slot[inner]])
-        sig = np.concatenate((exact, dels))
-        flag = np.concatenate((probe, probe[slot[inner]]))
+        spare = np.minimum(have - need, 31).astype(np.uint64)
+        low = spare << np.uint64(3) | (np.arange(len(who)) >= len(sizes)).astype(np.uint64) << np.uint64(1)
+        sig = np.concatenate((exact, dels)) & ~np.uint64(LOW - 1)
+        low = np.concatenate((low[entry] | flex.astype(np.uint64) << np.uint64(2) | probe, low[of[inner]] | probe[slot[inner]]))
         owner = np.concatenate((who[entry], who[of[inner]]))
-        return (sig & ~np.uint64(1)) | flag, owner
+        return sig | low, owner
 
 
 @lru_cache(maxsize=8)
@@ -177,7 +189,8 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
-    """bucket, leader, set: the members of every bucket with two sets at least and a probe."""
+    """bucket, set, low (the bits that describe the entry) and n: the members of every bucket of n sets, two at least
+    and one of them a probe."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - parts.bit_length() + 1)
@@ -223,26 +236,21 @@ def _buckets(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFra
 
         def out() -> Iterator[pa.RecordBatch]:
             sig, ids = (np.concatenate(x) for x in zip(*held))
-            probe, sig = (sig & np.uint64(1)).astype(np.int8), sig >> np.uint64(1)
-            order = np.lexsort((-probe, ids, sig))
-            sig, ids, probe = sig[order], ids[order], probe[order]
+            low, sig = (sig & np.uint64(LOW - 1)).astype(np.int32), sig >> np.uint64(8)
+            order = np.lexsort((-(low & 1), ids, sig))
+            sig, ids, low = sig[order], ids[order], low[order]
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-            sig, ids, probe = sig[new], ids[new], probe[new]
+            sig, ids, low = sig[new], ids[new], low[new]
             start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             n = np.diff(np.append(start, len(sig)))
-            asked = np.add.reduceat(probe.astype(np.int64), start) > 0
-            keep = np.repeat((n > 1) & asked, n)
-            # The leader is the smallest probe.
-            run = np.repeat(np.arange(len(start)), n)
-            lead = np.full(len(start), -1, np.int64)
-            firsts = np.flatnonzero(probe)[::-1]
-            lead[run[firsts]] = firsts
-            leader = ids[lead[run]]
-            for a in range(0, len(sig), 200_000):
-                z = np.flatnonzero(keep[a : a + 200_000]) + a
-                if len(z):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[z].view(np.int64)) for x in (sig, leader, ids)], names=["bucket", "leader", "set"])
+            asked = np.add.reduceat(low & 1, start) > 0
+            keep = np.flatnonzero(np.repeat((n > 1) & asked, n))
+            many = np.repeat(n, n)
+            for a in range(0, len(keep), 200_000):
+                z = keep[a : a + 200_000]
+                cols = (sig[z].view(np.int64), ids[z].view(np.int64), low[z], many[z].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["bucket", "set", "low", "n"])
 
         for b in batches:
             for p, n, sig, ids in zip(*(x.to_pylist() for x in b.columns)):
@@ -256,7 +264,7 @@ def _buckets(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFra
 
     tasks = max(1, min(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     packed = docs.mapInArrow(build, "part int, n int, sig binary, ids binary")
-    return packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "bucket long, leader long, set long")
+    return packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "bucket long, set long, low int, n long")
 
 
 def _verified(cells: DataFrame, k: int, num: int, den: int, star: bool) -> DataFrame:
@@ -349,6 +357,18 @@ def _blocks(members: DataFrame, group: str) -> DataFrame:
     return members.join(sized.select(group, F.greatest(n, F.lit(1)).alias("_n")), group).withColumn("_i", F.pmod(F.xxhash64("set", F.lit(3)), "_n"))
 
 
+def _settled(found: DataFrame) -> DataFrame:
+    """bucket, set, n, probe. In buckets of more than HEAVY sets, sets stop probing while they can spare it, the
+    largest buckets first; buckets that nobody probes any longer are left out."""
+    bits = found.select("bucket", "set", "n", (F.col("low").bitwiseAND(1) == 1).alias("probe"), F.col("low").bitwiseAND(2).alias("band"), (F.lit(1) + F.col("low").bitwiseAND(4) / 4).alias("cost"), F.shiftright("low", 3).alias("spare"))
+    w = Window.partitionBy("set", "band").orderBy(F.desc("n"), "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heavy = bits.filter(F.col("n") > HEAVY)
+    spent = heavy.filter("probe").withColumn("spent", F.sum("cost").over(w)).select("bucket", "set", "n", (F.col("spent") > F.col("spare")).alias("probe"))
+    heavy = heavy.filter("not probe").select("bucket", "set", "n", "probe").unionByName(spent)
+    asked = heavy.filter("probe").select("bucket").distinct()
+    return bits.filter(F.col("n") <= HEAVY).select("bucket", "set", "n", "probe").unionByName(heavy.join(asked, "bucket"))
+
+
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Two tables: each row's set (doc, n_shingles, set), and links between sets (a, b).
 
@@ -361,45 +381,60 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     while parts < n_bytes / 24 / (1 << 20):
         parts *= 2
     described = materialize(_describe(plain.withColumn("text", F.col("text")), k), "sets")
-    members = materialize(_buckets(plain, k, num, den, parts), "buckets")
+    found = materialize(_buckets(plain, k, num, den, parts), "buckets")
+    free_shuffles(docs.sparkSession)
+    members = materialize(_settled(found).withColumn("heavy", F.col("n") > HEAVY), "settled")
+    leader = members.filter("probe").groupBy("bucket").agg(F.min("set").alias("leader"))
+    members = members.join(leader, "bucket")
 
     # The texts of sets that share a bucket, one row a set: of equal sets the smallest key's.
-    pairs = members.filter("set <> leader").select("leader", "set").distinct()
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("leader", "set")).alias("set")).distinct()
+    star = materialize(members.filter("set <> leader").select("leader", "set", "heavy").groupBy("leader", "set").agg(F.bool_or("heavy").alias("heavy")), "pairs")
+    needed = star.select(F.explode(F.array("leader", "set")).alias("set")).distinct()
     first = described.filter("set is not null").groupBy("set").agg(F.min("doc").alias("doc")).join(needed, "set")
-    texts = materialize(
-        plain.join(first, "doc").groupBy("set").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text")), "texts"
-    )
+    texts = materialize(plain.join(first, "doc").groupBy("set").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text")), "texts")
+    free_shuffles(docs.sparkSession)
+    verify = lambda cells, stars: materialize(_verified(cells.join(texts.select("set", "text"), "set"), k, num, den, stars), "links")
+
+    def against(pairs: DataFrame) -> DataFrame:
+        split = _blocks(pairs.select("leader", "set").join(texts.select("set", "size"), "set"), "leader")
+        rows = split.select("leader", "_i", F.lit(1).alias("side"), "set").unionByName(split.select("leader", "_i", F.lit(0).alias("side"), F.col("leader").alias("set")).distinct())
+        return verify(rows.select(F.col("leader").alias("g"), F.col("_i").alias("c"), "side", "set", F.lit(0).cast("long").alias("comp")), True)
 
-    star = _blocks(pairs.join(texts.select("set", "size"), "set"), "leader")
-    rows = star.select("leader", "_i", F.lit(1).alias("side"), "set").unionByName(star.select("leader", "_i", F.lit(0).alias("side"), F.col("leader").alias("set")).distinct())
-    cells = rows.join(texts, "set").select(F.col("leader").alias("g"), F.col("_i").alias("c"), "side", "set", F.lit(0).cast("long").alias("comp"), "text")
-    links = materialize(_verified(cells, k, num, den, True), "links")
-    comps = materialize(connected_components(links), "components")
+    links = against(star)
+    comps = materialize(connected_components(links), "components").withColumnRenamed("id", "set")
+    free_shuffles(docs.sparkSession)
 
-    # Buckets that still hold several components; of buckets with the same members, one.
-    held = members.join(comps.withColumnRenamed("id", "set"), "set", "left").select("bucket", "set", F.coalesce("component", "set").alias("comp"))
+    # Small buckets that still hold several components (of those with the same members, one): the pairs left.
+    small = members.filter("not heavy and n > 2").join(comps, "set", "left").withColumn("comp", F.coalesce("component", "set"))
     open_ = (
-        held.groupBy("bucket")
-        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.sum(F.xxhash64("set") % (1 << 40)).alias("who"))
-        .filter("x <> y and n > 2")
-        .groupBy("who", "n")
+        small.groupBy("bucket")
+        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("set", "probe") % (1 << 40)).alias("who"), F.count("*").alias("m"))
+        .filter("x <> y")
+        .groupBy("who", "m")
         .agg(F.min("bucket").alias("bucket"))
-        .select("bucket")
     )
-    group = _blocks(held.join(open_, "bucket").join(texts.select("set", "size"), "set"), "bucket")
+    small = materialize(small.join(open_.select("bucket"), "bucket").select("bucket", "set", "leader", "probe", "comp"), "open")
+    x, y = small.alias("x"), small.alias("y")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.probe") | F.col("y.probe")))
+    rest = rest.filter((F.col("x.set") != F.col("x.leader")) & (F.col("y.set") != F.col("x.leader"))).select(F.col("x.set").alias("leader"), F.col("y.set").alias("set")).distinct()
+    links = links.unionByName(against(rest))
+
+    # Large ones: groups that share buckets and still hold several components, in cells of a grid.
+    shared = connected_components(star.filter("heavy"), "leader", "set").select(F.col("id").alias("set"), F.col("component").alias("grp"))
+    shared = materialize(shared.join(comps, "set", "left").withColumn("comp", F.coalesce("component", "set")), "shared")
+    several = shared.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
+    group = _blocks(shared.join(several, "grp").join(texts.select("set", "size"), "set"), "grp")
     # Block i meets every block j >= i: cell (i, j).
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
     grid = group.withColumn("_j", other).select(
-        F.col("bucket").alias("g"),
+        F.col("grp").alias("g"),
         (F.least("_i", "_j") * F.col("_n") + F.greatest("_i", "_j")).alias("c"),
         F.when(F.col("_i") <= F.col("_j"), 0).otherwise(1).alias("side"),
         "set",
         "comp",
     )
-    more = _verified(grid.join(texts.select("set", "text"), "set"), k, num, den, False)
-    return described.select("doc", "n_shingles", "set"), materialize(links.unionByName(more), "links")
+    links = links.unionByName(verify(grid, False))
+    return described.select("doc", "n_shingles", "set"), links
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
