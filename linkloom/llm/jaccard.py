@@ -10,7 +10,7 @@ the index for it, so nothing is lost.
 
 Equal sets are one set. Signatures travel packed by part of the hash space. Sets in one bucket are first verified
 against the bucket's leader (a star, never all pairs) and their components found. Only where several components are left is the
-search carried on, between sets of different components: pair by pair in buckets of up to HEAVY sets, and in cells of
+search carried on, between sets of different components that sizes and parity bits do not rule out: pair by pair in buckets of up to HEAVY sets, and in cells of
 a grid, bounded in sets and bytes, in larger ones. Before that, sets give up large buckets as far as their tolerances
 allow, so that common passages make no work. Neither copies nor near copies are ever expanded into pairs, and no link
 between components is missed.
@@ -39,6 +39,8 @@ LOW = 1 << 8
 CHUNK = 1_500_000
 #: Buckets of more sets are searched in cells of a grid, others pair by pair.
 HEAVY = 32
+#: Keys are broadcast up to this many; beyond it they are joined by shuffle.
+BROADCAST_KEYS = 200_000
 #: A cell's sets and text bytes, at most (one set at least).
 CELL_SETS, CELL_BYTES = 256, 4 << 20
 
@@ -175,17 +177,52 @@ def _sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray, np
     return s, sizes, ids, check
 
 
+def parity_bits(s: np.ndarray, n: int) -> bytes:
+    """Parities of the members in each of 2**j cells, n or more. The bits in which two such maps differ, the longer one
+    folded onto the shorter, are at most the members in which the sets differ."""
+    cells = max(64, 1 << (n - 1).bit_length())
+    return np.packbits(np.bincount((mix(s + np.uint64(9)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc, n_shingles, set and check (null for empty sets)."""
+    """doc, n_shingles, set, check (null for empty sets) and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                _, sizes, ids, check = _sets(as_bytes(b.column(1)), k)
+                s, sizes, ids, check = _sets(as_bytes(b.column(1)), k)
                 none = sizes == 0
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(ids.view(np.int64), mask=none), pa.array(check.view(np.int64), mask=none)], names=["doc", "n_shingles", "set", "check"])
+                end = np.cumsum(sizes)
+                bits = [parity_bits(s[j - n : j], int(n)) if n else None for j, n in zip(end, sizes)]
+                cols = [b.column(0), pa.array(sizes), pa.array(ids.view(np.int64), mask=none), pa.array(check.view(np.int64), mask=none), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "n_shingles", "set", "check", "bits"])
+
+    return docs.mapInArrow(run, "doc long, n_shingles long, set long, check long, bits binary")
+
+
+def _plausible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (leader, set) that sizes and parity bits do not rule out; both bounds are exact."""
+    sch = scheme(num, den)
 
-    return docs.mapInArrow(run, "doc long, n_shingles long, set long, check long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            keep = [bits_apart(x, y) <= sch.gap(m, n) for m, n, x, y in zip(*cols[2:])]
+            yield b.select(["leader", "set"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sizes.select(F.col("set").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("x"))
+    full = pairs.select("leader", "set").join(left, "leader").join(sizes.select("set", "n", F.col("bits").alias("y")), "set")
+    full = full.filter(F.least("m", "n") * den >= F.greatest("m", "n") * num).select("leader", "set", "m", "n", "x", "y")
+    return full.mapInArrow(run, "leader long, set long")
 
 
 def _buckets(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
@@ -387,22 +424,33 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     leader = members.filter("probe").groupBy("bucket").agg(F.min("set").alias("leader"))
     members = members.join(leader, "bucket")
 
-    # The texts of sets that share a bucket, one row a set: of equal sets the smallest key's.
-    star = materialize(members.filter("set <> leader").select("leader", "set", "heavy").groupBy("leader", "set").agg(F.bool_or("heavy").alias("heavy")), "pairs")
-    needed = star.select(F.explode(F.array("leader", "set")).alias("set")).distinct()
-    first = described.filter("set is not null").groupBy("set").agg(F.min("doc").alias("doc")).join(needed, "set")
-    texts = materialize(plain.join(first, "doc").groupBy("set").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text")), "texts")
-    free_shuffles(docs.sparkSession)
-    verify = lambda cells, stars: materialize(_verified(cells.join(texts.select("set", "text"), "set"), k, num, den, stars), "links")
-
-    def against(pairs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    star = members.filter("set <> leader").select("leader", "set", "heavy").groupBy("leader", "set").agg(F.bool_or("heavy").alias("heavy"))
+    star = materialize(star, "pairs")
+    sizes = described.filter("set is not null").groupBy("set").agg(F.min("doc").alias("doc"), F.min(F.struct("n_shingles", "bits")).alias("x"))
+    sizes = materialize(sizes.select("set", "doc", F.col("x.n_shingles").alias("n"), F.col("x.bits").alias("bits")), "sizes")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """set, text, size of the sets wanted: of equal sets the text of the smallest key."""
+        first = materialize(sizes.select("set", "doc").join(wanted.distinct(), "set"), "first")
+        few = first.count() <= BROADCAST_KEYS
+        own = plain.join(F.broadcast(first) if few else first, "doc")
+        return materialize(own.groupBy("set").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text")), "texts")
+
+    pairs = materialize(_plausible(star, sizes, num, den), "plausible")
+    large = star.filter("heavy").select("leader", "set")
+    texts = texts_of(pairs.unionByName(large).select(F.explode(F.array("leader", "set")).alias("set")))
+    free_shuffles(spark)
+    verify = lambda cells, texts, stars: materialize(_verified(cells.join(texts.select("set", "text"), "set"), k, num, den, stars), "links")
+
+    def against(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         split = _blocks(pairs.select("leader", "set").join(texts.select("set", "size"), "set"), "leader")
         rows = split.select("leader", "_i", F.lit(1).alias("side"), "set").unionByName(split.select("leader", "_i", F.lit(0).alias("side"), F.col("leader").alias("set")).distinct())
-        return verify(rows.select(F.col("leader").alias("g"), F.col("_i").alias("c"), "side", "set", F.lit(0).cast("long").alias("comp")), True)
+        return verify(rows.select(F.col("leader").alias("g"), F.col("_i").alias("c"), "side", "set", F.lit(0).cast("long").alias("comp")), texts, True)
 
-    links = against(star)
+    links = against(pairs, texts)
     comps = materialize(connected_components(links), "components").withColumnRenamed("id", "set")
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
 
     # Small buckets that still hold several components (of those with the same members, one): the pairs left.
     small = members.filter("not heavy and n > 2").join(comps, "set", "left").withColumn("comp", F.coalesce("component", "set"))
@@ -417,7 +465,8 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     x, y = small.alias("x"), small.alias("y")
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.probe") | F.col("y.probe")))
     rest = rest.filter((F.col("x.set") != F.col("x.leader")) & (F.col("y.set") != F.col("x.leader"))).select(F.col("x.set").alias("leader"), F.col("y.set").alias("set")).distinct()
-    links = links.unionByName(against(rest))
+    rest = materialize(_plausible(rest, sizes, num, den), "plausible")
+    links = links.unionByName(against(rest, texts_of(rest.select(F.explode(F.array("leader", "set")).alias("set")))))
 
     # Large ones: groups that share buckets and still hold several components, in cells of a grid.
     shared = connected_components(star.filter("heavy"), "leader", "set").select(F.col("id").alias("set"), F.col("component").alias("grp"))
@@ -433,7 +482,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         "set",
         "comp",
     )
-    links = links.unionByName(verify(grid, False))
+    links = links.unionByName(verify(grid, texts, False))
     return described.select("doc", "n_shingles", "set"), links
 
 
@@ -455,9 +504,6 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 
-#: Keys to leave out are broadcast up to this many; beyond it they are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
-
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents with one of each class kept: the one with the smallest key. Columns stay as they are.
