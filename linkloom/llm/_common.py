@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.functions.text import let
 from linkloom.sources.scratch import drop_table, free_shuffles, materialize  # noqa: F401  (re-exported for the operators)
 
 #: Java class of the characters between words.
@@ -83,24 +84,20 @@ def n_words(text: Column) -> Column:
 
 def prefix_sums(values: Column, block: int = 64) -> Column:
     """Running sums of an array of ints, inclusive. Two levels, so that long arrays stay near linear."""
-    n = F.size(values)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")),
-        lambda b: F.slice(values, b * block + 1, F.lit(block)),
-    )
     add = lambda a, x: a + x
     zero = F.lit(0).cast("long")
-    before = F.aggregate(
-        blocks,
-        F.array(zero),
-        lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(b, zero, add))),
-    )
-    summed = F.zip_with(
-        blocks,
-        F.slice(before, F.lit(1), F.size(blocks)),
-        lambda b, off: F.transform(b, lambda _, i: off + F.aggregate(F.slice(b, F.lit(1), i + 1), zero, add)),
-    )
-    return F.when(n > 0, F.flatten(summed)).otherwise(F.array().cast("array<bigint>"))
+
+    def blocks(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+
+    def summed(bs: Column) -> Column:
+        before = F.aggregate(bs, F.array(zero), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(b, zero, add))))
+        within = lambda b, off: F.transform(b, lambda _, i: off + F.aggregate(F.slice(b, F.lit(1), i + 1), zero, add))
+        return F.flatten(F.zip_with(bs, F.slice(before, F.lit(1), F.size(bs)), within))
+
+    none = F.array().cast("array<bigint>")
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), summed)).otherwise(none))
 
 
 SPANS = "array<struct<s:bigint,e:bigint,v:string,near:string>>"
