@@ -19,13 +19,17 @@ def tokenize_url(url: Column) -> Column:
     return tokenize(F.element_at(F.split(path, "/"), -1))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often (and in whatever lambda) body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(text: Column, k: int = 4) -> Column:
     """Distinct runs of k words of lower-cased text whose ASCII punctuation counts as space."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Punct}+", " "), SPACE, " "))
-    words = F.split(plain, " ")
-    n = F.size(words) - (k - 1)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.array_join(F.slice(words, i + 1, F.lit(k)), " "))
-    return F.when(n > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, F.lit(k)), " "))
+    none = F.array().cast("array<string>")
+    return F.coalesce(let(F.split(plain, " "), lambda w: F.when(F.size(w) >= k, F.array_distinct(grams(w))).otherwise(none)), none)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -37,6 +37,8 @@ def decide(links: DataFrame, score: str = "count") -> DataFrame:
     Links count once by address and text. score: their number ("count") or the characters of their texts ("chars").
     Actions without score go, and so do those that repeat another's addresses or a part of them.
     """
+    # One exchange: what is dealt by page is dealt by any key that holds the page.
+    links = links.select("page_url", "xpath", "href", "text", "ord", "n_chars").repartition("page_url")
     once = links.groupBy("page_url", "xpath", "href", "text").agg(F.min("ord").alias("ord"), F.first("n_chars").alias("n_chars"))
     value = F.count("*") if score == "count" else F.sum("n_chars")
     acts = once.groupBy("page_url", "xpath").agg(
