@@ -36,7 +36,7 @@ ALL_FLEX, SMALL, ROOM = 48, 0, 1.1
 GROWTH = 1.35
 #: Below it, the bits of a signature that describe the entry.
 LOW = 1 << 8
-CHUNK = 1_500_000
+CHUNK = 800_000
 #: Buckets of more sets are searched in cells of a grid, others pair by pair.
 HEAVY = 32
 #: Keys are broadcast up to this many; beyond it they are joined by shuffle.
@@ -415,7 +415,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     n_bytes = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1
-    while parts < n_bytes / 24 / (1 << 20):
+    while parts < n_bytes / 6 / (1 << 20):
         parts *= 2
     described = materialize(_describe(plain.withColumn("text", F.col("text")), k), "sets")
     found = materialize(_buckets(plain, k, num, den, parts), "buckets")
