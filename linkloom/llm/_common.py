@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +29,21 @@ def session(df: DataFrame) -> SparkSession:
 
 # --------------------------------------------------------------------------- Arrow side
 
+#: Bytes of an Arrow batch: a few thousand texts. Spark's default of 64 MB, doubled as buffers grow and held in both
+#: processes of every task, is most of an executor's memory outside its heap.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Has the session send texts to Python in small batches, unless it was told a smaller size; returns df."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, "64m").strip().lower()
+    size = int(re.sub(r"[^0-9]", "", now)) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 
 def as_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding them."""

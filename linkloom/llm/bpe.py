@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import as_bytes
+from ._common import as_bytes, bounded_batches
 
 #: Fixed values of the byte-level vocabulary format: its piece pattern, and the bytes written as themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -123,4 +123,4 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return bounded_batches(docs.select(key, text)).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes
+from ._common import as_bytes, bounded_batches
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 FOLD = bytes(
@@ -121,7 +121,7 @@ def decontaminate(
             out = pa.RecordBatch.from_pylist(rows, schema=arrow)
             yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], names=[key, *arrow.names])
 
-    return docs.select(key, text).mapInArrow(run, T.StructType(fields))
+    return bounded_batches(docs.select(key, text)).mapInArrow(run, T.StructType(fields))
 
 
 def clean_documents(
@@ -136,7 +136,7 @@ def clean_documents(
             keep = [(h is None or int(h.sum()) < k) and len(found) < 2 for _, _, h, found in find(as_bytes(b.column(at)))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _broadcast_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> list:

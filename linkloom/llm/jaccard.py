@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.operators.components import connected_components
 
-from ._common import as_bytes, free_shuffles, materialize, mix, slices, windows, word_hashes
+from ._common import as_bytes, bounded_batches, free_shuffles, materialize, mix, slices, windows, word_hashes
 
 #: Sets up to this size have flexible segments only; subsets up to SMALL members are passed over.
 ALL_FLEX, SMALL, ROOM = 48, 0, 1.1
@@ -194,7 +195,7 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc, n_shingles, set, check (null for empty sets) and bits."""
+    """doc, th (as given), n_shingles, set, check (null for empty sets) and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +204,10 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                 none = sizes == 0
                 end = np.cumsum(sizes)
                 bits = [parity_bits(s[j - n : j], int(n)) if n else None for j, n in zip(end, sizes)]
-                cols = [b.column(0), pa.array(sizes), pa.array(ids.view(np.int64), mask=none), pa.array(check.view(np.int64), mask=none), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "n_shingles", "set", "check", "bits"])
+                cols = [b.column(0), b.column(2), pa.array(sizes), pa.array(ids.view(np.int64), mask=none), pa.array(check.view(np.int64), mask=none), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "th", "n_shingles", "set", "check", "bits"])
 
-    return docs.mapInArrow(run, "doc long, n_shingles long, set long, check long, bits binary")
+    return docs.mapInArrow(run, "doc long, th long, n_shingles long, set long, check long, bits binary")
 
 
 def _plausible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -412,12 +413,12 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     The links connect exactly the sets that are connected by pairs of Jaccard similarity num/den or more: every
     component is spanned, pairs inside one are not all listed.
     """
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    plain = bounded_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     n_bytes = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1
     while parts < n_bytes / 6 / (1 << 20):
         parts *= 2
-    described = materialize(_describe(plain.withColumn("text", F.col("text")), k), "sets")
+    described = materialize(_describe(plain, k), "sets")
     found = materialize(_buckets(plain, k, num, den, parts), "buckets")
     free_shuffles(docs.sparkSession)
     members = materialize(_settled(found).withColumn("heavy", F.col("n") > HEAVY), "settled")
@@ -427,14 +428,14 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     spark = docs.sparkSession
     star = members.filter("set <> leader").select("leader", "set", "heavy").groupBy("leader", "set").agg(F.bool_or("heavy").alias("heavy"))
     star = materialize(star, "pairs")
-    sizes = described.filter("set is not null").groupBy("set").agg(F.min("doc").alias("doc"), F.min(F.struct("n_shingles", "bits")).alias("x"))
-    sizes = materialize(sizes.select("set", "doc", F.col("x.n_shingles").alias("n"), F.col("x.bits").alias("bits")), "sizes")
+    sizes = described.filter("set is not null").groupBy("set").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th", "n_shingles", "bits")).alias("x"))
+    sizes = materialize(sizes.select("set", F.col("x.doc").alias("doc"), F.col("x.th").alias("th"), F.col("x.n_shingles").alias("n"), F.col("x.bits").alias("bits")), "sizes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """set, text, size of the sets wanted: of equal sets the text of the smallest key."""
-        first = materialize(sizes.select("set", "doc").join(wanted.distinct(), "set"), "first")
+        first = materialize(sizes.select("set", F.col("doc").alias("_d"), F.col("th").alias("_t")).join(wanted.distinct(), "set"), "first")
         few = first.count() <= BROADCAST_KEYS
-        own = plain.join(F.broadcast(first) if few else first, "doc")
+        own = plain.join(F.broadcast(first) if few else first, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
         return materialize(own.groupBy("set").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text")), "texts")
 
     pairs = materialize(_plausible(star, sizes, num, den), "plausible")
@@ -506,7 +507,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with one of each class kept: the one with the smallest key. Columns stay as they are.
+    """The documents with one of each class kept: the one with the smallest key. Columns stay as they are (_s and _d are
+    used on the way).
 
     A null or wordless text is in no class and stays. Of rows equal in key and shingles one stays. A class whose keys
     are all null keeps one row.
@@ -529,7 +531,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
                 _, sizes, ids, _ = _sets(as_bytes(b.column(at)), k)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids.view(np.int64), mask=sizes == 0)], names=[*fields, "_s"])
 
-    schema = docs.withColumn("_s", F.lit(0).cast("long")).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField("_s", T.LongType())])
     own = docs.mapInArrow(with_set, schema).withColumn("_d", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)))
     hint = F.broadcast if judged.count() <= BROADCAST_KEYS else (lambda df: df)
     kept = own.join(hint(judged.filter("not _best").select("_d", "_s")), ["_d", "_s"], "left_anti")

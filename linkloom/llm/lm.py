@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, materialize, mix, slices, word_hashes
+from ._common import as_bytes, bounded_batches, materialize, mix, slices, word_hashes
 
 HOT = 2_000_000
 BROADCAST_BYTES = 256 << 20
@@ -225,7 +225,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     counts. score: the model's log10 probability. Without training rows all counts are 0. Other columns play no part.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(key).alias("_key"), held_out(key).alias("held_out"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    plain = bounded_batches(docs).select(F.col(key).alias("_key"), held_out(key).alias("held_out"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     n_bytes = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shards = 4
     while shards < n_bytes / 6 / (1 << 20):

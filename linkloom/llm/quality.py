@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, mix
+from ._common import as_bytes, bounded_batches, mix
 
 BITS = 20
 #: The fit's bounds: labelled rows are taken in the order of a hash of their key until either is reached.
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     # max_rows rows: a proven bound, so the sample is broadcast and the texts stay in place.
     pick = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key").select(F.col("_key").cast("string"), F.col("_y").cast("int"), "_text")
-    found = pick.mapInArrow(run, "k string, y int, f binary").dropDuplicates(["k"])
+    found = bounded_batches(pick).mapInArrow(run, "k string, y int, f binary").dropDuplicates(["k"])
     rows, y, total = [], [], 0
     for r in found.orderBy(F.xxhash64("k"), "k").toLocalIterator():
         f = np.frombuffer(r.f, np.int32)
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             s = [m.score(features(t)) for t in as_bytes(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, free_shuffles, mix, slices, windows, word_hashes
+from ._common import as_bytes, bounded_batches, free_shuffles, mix, slices, windows, word_hashes
 
 K = 13
 DEPTH = 2
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     null text has no words. Other columns play no part.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    plain = bounded_batches(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")))
     n_bytes = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = MIN_CELLS
     while cells < min(max_cells, n_bytes // 3):
