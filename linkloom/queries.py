@@ -117,21 +117,22 @@ def refine_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref.select("page_url", F.size("only").alias("n_only"), F.get(F.get("only", F.lit(0))["ns"], F.lit(0)).alias("only_pos"), F.size("avoid").alias("n_avoid"))
 
 
-@query(f"""WITH {_A}, c AS (SELECT regexp_replace(host, '^.*?([^.]+\\.[^.]+\\.[a-z]+)$', '\\1') AS grp, raw, count(DISTINCT url) AS n FROM anchors GROUP BY ALL)
+@query(f"""WITH {_A}, c AS (SELECT regexp_extract(host, '([a-z]+)$', 1) AS grp, raw, count(DISTINCT url) AS n FROM anchors GROUP BY ALL)
     SELECT grp, raw AS href, n FROM c WHERE n >= 5""")
 def template_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = links.all_anchors(read(spark, sf_dir, "pages"))
-    grp = F.regexp_replace(X.host(F.col("page_url")), r"^.*?([^.]+\.[^.]+\.[a-z]+)$", "$1")
+    grp = F.regexp_extract(X.host(F.col("page_url")), "([a-z]+)$", 1)
     n = own.groupBy(grp.alias("grp"), F.col("raw").alias("href")).agg(F.count_distinct("page_url").alias("n"))
     return n.filter("n >= 5")
 
 
 @query(f"""WITH {_A} SELECT a.url AS page_url, count(*) AS n, count(*) FILTER (WHERE regexp_extract(b.url, '^https?://([^/:?#]+)', 1) = regexp_extract(a.url, '^https?://([^/:?#]+)', 1)) AS inside
-    FROM pages a JOIN pages b ON a.page_id % 50 = b.page_id % 50 GROUP BY a.url""")
+    FROM pages a JOIN pages b ON b.page_id BETWEEN a.page_id - 2 AND a.page_id + 2 GROUP BY a.url""")
 def in_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
-    k = p.select(F.col("url").alias("site"), (F.col("page_id") % 50).alias("k"))
-    both = k.join(k.withColumnRenamed("site", "target"), "k")
+    around = F.sequence(F.col("page_id") - 2, F.col("page_id") + 2)
+    site = p.select(F.col("url").alias("site"), F.explode(around).alias("page_id"))
+    both = site.join(p.select("page_id", F.col("url").alias("target")), "page_id")
     return both.groupBy(F.col("site").alias("page_url")).agg(F.count("*").alias("n"), F.count_if(X.in_domain(F.col("site"), F.col("target"))).alias("inside"))
 
 
@@ -225,11 +226,11 @@ def seen_against_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").filter("user_id < 40")
+    e = read(spark, sf_dir, "events")
     return e.groupBy(F.col("user_id").alias("page"), F.col("event_type").alias("xpath")).agg(F.count("*").alias("n"))
 
 
-_SIG = "s AS (SELECT user_id AS page, event_type AS xpath, count(*) AS n FROM events WHERE user_id < 40 GROUP BY ALL)"
+_SIG = "s AS (SELECT user_id AS page, event_type AS xpath, count(*) AS n FROM events GROUP BY ALL)"
 _COS = f"""{_SIG}, m AS (SELECT page, sqrt(sum(n * n)) AS norm, count(*) AS size FROM s GROUP BY page), d AS (
     SELECT x.page AS a, y.page AS b, sum(x.n * y.n) AS dot, count(*) AS shared FROM s x JOIN s y ON x.xpath = y.xpath AND x.page < y.page GROUP BY ALL), c AS (
     SELECT a, b, dot / (ma.norm * mb.norm) AS cosine, shared / (sqrt(ma.size) * sqrt(mb.size)) AS cardinality FROM d JOIN m ma ON ma.page = a JOIN m mb ON mb.page = b)"""
@@ -278,12 +279,11 @@ def weighted_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sig(spark, sf_dir)
-    n = s.filter("page < 39").select("page", "xpath", "n")
-    return similarity.signature_distance(n, s.filter("page > 0").withColumn("page", F.col("page") - 1), 1.0, 2.0, ("page",))
+    return similarity.signature_distance(s, s.withColumn("page", F.col("page") - 1), 1.0, 2.0, ("page",))
 
 
 _DIST = f"""{_SIG}, x AS (SELECT coalesce(a.page, b.page - 1) AS page, coalesce(a.n, 0) AS h1, coalesce(b.n, 0) AS h2
-    FROM (SELECT * FROM s WHERE page < 39) a FULL JOIN (SELECT * FROM s WHERE page > 0) b ON a.page = b.page - 1 AND a.xpath = b.xpath)"""
+    FROM s a FULL JOIN s b ON a.page = b.page - 1 AND a.xpath = b.xpath)"""
 
 
 @query(f"WITH {_DIST} SELECT page, sum(2.0 * greatest(h1 - h2, 0) + greatest(h2 - h1, 0))::DOUBLE AS distance, sum(abs(h1 - h2))::BIGINT AS manhattan FROM x GROUP BY page")
@@ -574,11 +574,11 @@ def union_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-_MERGE = "SELECT coalesce(a.k, b.k) AS k, coalesce({}) AS v FROM (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT s_suppkey AS k, s_name AS v FROM supplier) b ON a.k = b.k"
+_MERGE = "SELECT coalesce(a.k, b.k) AS k, coalesce({}) AS v FROM (SELECT c_custkey AS k, c_name AS v FROM customer) a FULL JOIN (SELECT s_suppkey AS k, s_name AS v FROM supplier) b ON a.k = b.k"
 
 
 def _merge(spark: SparkSession, sf_dir: str, last: bool) -> DataFrame:
-    a = read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
     return relational.merge_maps([a, read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))], ["k"], last)
 
 
@@ -615,10 +615,10 @@ def mode_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(e.groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id", "event_type"])
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, 1000 + (event_id % 37) * 10 + user_id % 10 AS b FROM events WHERE event_id % 400 = 0), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, 1000000 + event_id AS b FROM events), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     r AS (SELECT DISTINCT a AS id, a AS o FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.o) SELECT id, min(o) AS component FROM r GROUP BY id""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkloom.operators.components import connected_components
 
-    e = read(spark, sf_dir, "events").filter("event_id % 400 = 0").select(F.col("user_id").alias("a"), (1000 + (F.col("event_id") % 37) * 10 + F.col("user_id") % 10).alias("b"))
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("a"), (1000000 + F.col("event_id")).alias("b"))
     return connected_components(e)
