@@ -24,6 +24,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -419,9 +420,11 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     while parts < n_bytes / 6 / (1 << 20):
         parts *= 2
     described = materialize(_describe(plain, k), "sets")
-    found = materialize(_buckets(plain, k, num, den, parts), "buckets")
-    free_shuffles(docs.sparkSession)
+    # Read three times within one job: kept on the executors' disks, with its lineage, for that long.
+    found = _buckets(plain.select("doc", "text"), k, num, den, parts).persist(StorageLevel.DISK_ONLY)
     members = materialize(_settled(found).withColumn("heavy", F.col("n") > HEAVY), "settled")
+    found.unpersist()
+    free_shuffles(docs.sparkSession)
     leader = members.filter("probe").groupBy("bucket").agg(F.min("set").alias("leader"))
     members = members.join(leader, "bucket")
 
