@@ -16,9 +16,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     steps are aggregations and equi-joins, which split hot nodes; only counts reach the driver. Self-loops and
     repeated edges do no harm; edges with a null end are left out. max_rounds stops early (labels are then partial).
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
+    e = materialize(e.filter("x and y").select("a", "b").distinct(), "edges")
     loops = e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
-    left = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    left = e.filter("a <> b")
     labels, rounds = None, 0
     while not left.isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1

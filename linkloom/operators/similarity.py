@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from linkloom.functions.text import shingles
 from linkloom.sources.html import Node, dom_nodes, parse
+from linkloom.sources.scratch import materialize
 
 # ---------------------------------------------------------------- shingles
 
@@ -25,12 +26,12 @@ def shingle_counts(docs: DataFrame, key: str, text: str, k: int = 4) -> DataFram
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows doc, size, gram for the grams that similar sets must share one of: all but the num/den most frequent of a
-    set, by a global order of rarity."""
-    df = sets.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = sets.join(df, "gram").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    keep = F.size("g") - F.ceil(F.size("g") * num / F.lit(float(den)) - 1e-9).cast("int") + 1
-    return ranked.select("doc", F.size("g").alias("size"), F.explode(F.slice("g", F.lit(1), keep)).alias("x")).select("doc", "size", F.col("x.gram").alias("gram"))
+    """Rows set, size, gram (hashed): the rarest grams of each set, one of which any similar set shares."""
+    flat = sets.select("set", F.size("s").alias("size"), F.explode(F.array_distinct(F.transform("s", lambda g: F.xxhash64(g)))).alias("gram"))
+    df = flat.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = flat.join(df, "gram").groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    keep = F.size("g") - F.ceil(F.col("size") * num / F.lit(float(den)) - 1e-9).cast("int") + 1
+    return ranked.filter(keep > 0).select("set", "size", F.explode(F.slice("g", F.lit(1), keep)).alias("x")).select("set", "size", F.col("x.gram").alias("gram"))
 
 
 def near_duplicate_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 9, den: int = 10, right_key: str | None = None, right_text: str | None = None) -> DataFrame:
@@ -44,20 +45,23 @@ def near_duplicate_pairs(left: DataFrame, right: DataFrame | None = None, key: s
         other = None
     else:
         other = right.select(F.col(right_key or key).alias("doc"), shingles(F.col(right_text or text), k).alias("s")).filter(F.size("s") > 0)
-    set_id = lambda df: df.withColumn("set", F.sha2(F.array_join(F.array_sort("s"), "\n"), 256))
+    # A set's name is a hash of its sorted members; its members travel once, and documents only with the name.
+    set_id = lambda df: df.withColumn("set", F.unhex(F.sha2(F.array_join(F.array_sort("s"), "\n"), 256)))
     own = set_id(own)
     sets = own.groupBy("set").agg(F.first("s").alias("s"))
     if other is not None:
         other = set_id(other)
         sets = sets.unionByName(other.groupBy("set").agg(F.first("s").alias("s"))).groupBy("set").agg(F.first("s").alias("s"))
-    pre = _prefixes(sets.select(F.col("set").alias("doc"), F.explode("s").alias("gram")), num, den)
+    sets = materialize(sets, "shingles")
+    pre = materialize(_prefixes(sets, num, den), "prefixes")
     x, y = pre.alias("x"), pre.alias("y")
-    near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    cand = x.join(y, near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
+    cand = x.join(y, near).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
     full = cand.join(sets.select(F.col("set").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("set").alias("b"), F.col("s").alias("sb")), "b")
     full = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), F.size("sa").alias("na"), F.size("sb").alias("nb")).filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))
     same = sets.select(F.col("set").alias("a"), F.col("set").alias("b"), F.size("s").alias("inter"), F.size("s").alias("na"), F.size("s").alias("nb"))
     both = full.unionByName(full.select(F.col("b").alias("a"), F.col("a").alias("b"), "inter", F.col("nb").alias("na"), F.col("na").alias("nb"))).unionByName(same)
+    own = materialize(own.select("doc", "set"), "names")
     docs_b = (own if other is None else other).select(F.col("doc").alias("doc_b"), F.col("set").alias("b"))
     out = both.join(own.select(F.col("doc").alias("doc_a"), F.col("set").alias("a")), "a").join(docs_b, "b")
     if other is None:
