@@ -16,17 +16,12 @@ from linkloom.sources.scratch import drop_table, free_shuffles, materialize  # n
 
 #: Java class of the characters between words.
 SPACE_CLASS = "\\x20\\x09-\\x0D"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 # --------------------------------------------------------------------------- Arrow side
 
 #: Bytes of an Arrow batch: a few thousand texts. Spark's default of 64 MB, doubled as buffers grow and held in both
