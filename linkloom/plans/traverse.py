@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.paths import action_at
+from linkloom.operators.cluster import assign_online
 from linkloom.operators.components import connected_components
 from linkloom.operators.decisions import decide
 from linkloom.operators.links import page_links, refined
 from linkloom.operators.similarity import near_duplicate_pairs, similar_pairs, xpath_chars
 from linkloom.sources.scratch import materialize
 
+from .model import estimate_model
+
 FRONTIER = "url string, path array<string>, src_url string, src_text string, seq array<long>"
 
 
@@ -161,6 +164,27 @@ def crawl_examples(pages: DataFrame, start: DataFrame, leaves: DataFrame | None
     return crawl(link_table(pages), start, leaves, stop, example_share(F.col("_n")), "fifo", seed, example_filter(pages, seed=seed))
 
 
+def leaf_edges(chars: DataFrame, leaves: DataFrame, least: float = 0.8) -> DataFrame:
+    """a < b of structurally similar leaves (url); only pages that share a path are compared."""
+    own = chars.join(leaves.select(F.col("url").alias("page_url")).distinct(), "page_url", "left_semi").select("page_url", "xpath")
+    pairs = own.select(F.col("page_url").alias("a"), "xpath").join(own.select(F.col("page_url").alias("b"), "xpath"), "xpath").filter("a < b")
+    return similar_pairs(chars, pairs.select("a", "b").distinct(), least).select("a", "b")
+
+
+def crawl_with_estimation(
+    pages: DataFrame, start: DataFrame, leaves: DataFrame | None = None, stop: Stop | None = None, seed: int = 1, least: float = 0.8
+) -> tuple[Crawl, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """Crawls examples, clusters the leaves in the order they were met (clusters are never merged, the newest is asked
+    first) and estimates the site's model: (crawl, clusters, (sequences, refinements, pagination))."""
+    run = crawl_examples(pages, start, leaves, stop, seed)
+    met = materialize(run.visited.filter("leaf"), "leaves")
+    order = met.select(F.col("url").alias("id"), F.row_number().over(Window.orderBy("seq", "url")).cast("long").alias("seq"))
+    chars = materialize(xpath_chars(pages), "chars")
+    clusters = assign_online(start.sparkSession.createDataFrame([], "id string, cluster long"), order, materialize(leaf_edges(chars, met, least), "edges"))
+    corpus = run.visited.join(pages.select("url", F.col("html").alias("body")), "url", "left")
+    return run, clusters, estimate_model(corpus, clusters)
+
+
 def replay(
     links: DataFrame,
     start: DataFrame,

@@ -69,6 +69,13 @@ def test_examples_and_model(spark):
     assert ref == {THREADS, BOARDS}
 
 
+def test_estimation(spark):
+    leaves = site(spark).filter("html like '<p>%'").select("url")
+    run, clusters, (seqs, refs, paging) = T.crawl_with_estimation(site(spark), T.seed(spark, "http://h/"), leaves)
+    assert run.counters["leaves"] >= 1 and clusters.select("cluster").distinct().count() == 1
+    assert (THREADS, BOARDS) in {tuple(r.actions) for r in seqs.collect()} and refs.count() >= 2 and paging.count() <= 1
+
+
 def test_replay(spark):
     links = T.link_table(site(spark))
     start = T.seed(spark, "http://h/")
@@ -121,6 +128,7 @@ def test_files(spark, tmp_path):
     feats = spark.createDataFrame([(1.0, 2.0, True), (None, 1.0, False)], "A double, B double, leaf boolean")
     IO.write_arff(feats, f"{p}/arff", names=("A", "B"))
     assert [r.value for r in spark.read.text(f"{p}/arff/1-data").collect()] == ["1.0,2.0,1"]
+    assert IO.exists(spark, f"{p}/arff") and not IO.exists(spark, f"{p}/none")
     path = IO.dump_run(f"{p}/run", {"visited": spark.createDataFrame([("u",)], "url string")})
     assert IO.read_table(spark, f"{path}/visited", "visited").first().url == "u"
 
