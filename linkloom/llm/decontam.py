@@ -156,7 +156,11 @@ def _finder(blocks: list, k: int) -> Callable[[list[bytes | None]], Iterator[tup
         if len(blocks) == 1 and not made:
             made.append(Automaton(blocks[0].value, k))
         for block in blocks:
-            a = made[0] if made else Automaton(block.value, k)
+            if made:
+                a = made[0]
+            else:
+                a = Automaton(block.value, k)
+                vars(block).pop("_value", None)  # a worker holds one block at a time
             for i, w in enumerate(words):
                 h, found = a.scan(w)
                 names[i].update(a.names[x] for x in found)
