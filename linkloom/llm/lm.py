@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,7 +231,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     shards = 4
     while shards < n_bytes / 6 / (1 << 20):
         shards *= 2
-    counts = materialize(_count(plain.filter(~F.col("held_out")).select("_text"), shards), "ngrams")
+    # Read several times below: kept on the executors' disks, with its lineage, until then.
+    counts = _count(plain.filter(~F.col("held_out")).select("_text"), shards).persist(StorageLevel.DISK_ONLY)
     size = counts.agg(
         F.sum(F.octet_length("bits")).alias("bytes"), F.sum(F.when(F.col("ord") == 1, F.col("total"))).alias("n"), F.sum(F.when(F.col("ord") == 1, F.col("entries"))).alias("v")
     ).first()
@@ -286,6 +288,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     first = materialize(plain.mapInArrow(run, schema), "scored")
     rare = first.select("_row", F.explode("_rare").alias("h")).groupBy("_row", "h").agg(F.count("*").alias("m"))
     more = rare.join(words, "h").groupBy("_row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("_b"), F.sum("m").alias("_k"))
+    more = materialize(more, "rare")
+    counts.unpersist()
     out = first.drop("_rare").join(more, "_row", "left")
     if not by_filter:
         counts = materialize(_count(plain.filter(~F.col("held_out")).select("_text"), shards, (1, 2)), "ngrams")
