@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, bounded_batches, materialize, mix, slices, word_hashes
+from ._common import as_bytes, bounded_batches, free_shuffles, materialize, mix, slices, word_hashes
 
 HOT = 2_000_000
 BROADCAST_BYTES = 256 << 20
@@ -231,8 +231,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     shards = 4
     while shards < n_bytes / 6 / (1 << 20):
         shards *= 2
-    # Read several times below: kept on the executors' disks, with its lineage, until then.
-    counts = _count(plain.filter(~F.col("held_out")).select("_text"), shards).persist(StorageLevel.DISK_ONLY)
+    # Merged at full width on the executors' disks first, then written as a few files, so that the shuffle can go.
+    merged = _count(plain.filter(~F.col("held_out")).select("_text"), shards).persist(StorageLevel.DISK_ONLY)
+    merged.count()
+    counts = materialize(merged.coalesce(max(1, shards // 32)), "ngrams")
+    merged.unpersist()
+    free_shuffles(spark)
     size = counts.agg(
         F.sum(F.octet_length("bits")).alias("bytes"), F.sum(F.when(F.col("ord") == 1, F.col("total"))).alias("n"), F.sum(F.when(F.col("ord") == 1, F.col("entries"))).alias("v")
     ).first()
@@ -289,7 +293,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     rare = first.select("_row", F.explode("_rare").alias("h")).groupBy("_row", "h").agg(F.count("*").alias("m"))
     more = rare.join(words, "h").groupBy("_row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("_b"), F.sum("m").alias("_k"))
     more = materialize(more, "rare")
-    counts.unpersist()
     out = first.drop("_rare").join(more, "_row", "left")
     if not by_filter:
         counts = materialize(_count(plain.filter(~F.col("held_out")).select("_text"), shards, (1, 2)), "ngrams")
