@@ -480,7 +480,7 @@ def _yield_by_sequence(s: DataFrame, docs: DataFrame, n: DataFrame, paging: Data
     first = s.select(F.lit("root").alias("url"), F.concat(F.lit("#"), F.col("seq_id").cast("string")).alias("action"), F.lit(1).cast("long").alias("n"))
     root = s.select(F.lit("root").alias("url"), F.lit(None).cast("string").alias("src_url"), F.array().cast("array<string>").alias("path"), F.lit(False).alias("leaf")).distinct()
     docs = docs.withColumn("src_url", F.coalesce("src_url", F.lit("root"))).select("url", "src_url", "path", "leaf").unionByName(root)
-    return model.estimate_yield(own, docs, n.unionByName(first), paging, longest=4)
+    return model.estimate_yield(own, docs, n.unionByName(first), paging)
 
 
 @query(f"WITH {_SEQ} SELECT seq_id, array_to_string(actions, '/') AS actions, row_number() OVER (ORDER BY len(actions), seq_id DESC)::INTEGER AS place FROM q")

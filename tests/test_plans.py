@@ -14,6 +14,15 @@ from linkloom.streaming import pages as SP
 DOC = "url string, src_url string, path array<string>, leaf boolean"
 
 
+def test_yield_loop_is_as_long_as_the_sequences(spark):
+    acts = list("abcdef")
+    s = spark.createDataFrame([(7, acts)], "seq_id long, actions array<string>")
+    docs = spark.createDataFrame([(f"7/{k}", f"7/{k - 1}" if k else None, acts[6 - k :], k == 6, 7) for k in range(7)], DOC + ", _s long")
+    n = spark.createDataFrame([(f"7/{k}", acts[5 - k], k + 2) for k in range(6)], "url string, action string, n long")
+    paging = spark.createDataFrame([("none",)], "x string").selectExpr("array(x) AS src_path")
+    assert entry.core._yield_by_sequence(s, docs, n, paging).first()["yield"] == 2 * 3 * 4 * 5 * 6 * 7
+
+
 def site(spark):
     """root -> 4 boards, one of them with a second page; boards -> 3 threads each."""
     a = lambda items: "".join(f'<li><a href="{h}">{t}</a></li>' for h, t in items)
