@@ -408,6 +408,13 @@ def _settled(found: DataFrame) -> DataFrame:
     return bits.filter(F.col("n") <= HEAVY).select("bucket", "set", "n", "probe").unionByName(heavy.join(asked, "bucket"))
 
 
+def _open(small: DataFrame) -> DataFrame:
+    """bucket: those that hold several components; of buckets with the same members (set, probe), HEAVY at most, one."""
+    who = F.sort_array(F.collect_list(F.struct("set", "probe"))).alias("who")
+    several = small.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), who).filter("x <> y")
+    return several.groupBy("who").agg(F.min("bucket").alias("bucket")).select("bucket")
+
+
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Two tables: each row's set (doc, n_shingles, set), and links between sets (a, b).
 
@@ -458,14 +465,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     # Small buckets that still hold several components (of those with the same members, one): the pairs left.
     small = members.filter("not heavy and n > 2").join(comps, "set", "left").withColumn("comp", F.coalesce("component", "set"))
-    open_ = (
-        small.groupBy("bucket")
-        .agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("set", "probe") % (1 << 40)).alias("who"), F.count("*").alias("m"))
-        .filter("x <> y")
-        .groupBy("who", "m")
-        .agg(F.min("bucket").alias("bucket"))
-    )
-    small = materialize(small.join(open_.select("bucket"), "bucket").select("bucket", "set", "leader", "probe", "comp"), "open")
+    small = materialize(small.join(_open(small), "bucket").select("bucket", "set", "leader", "probe", "comp"), "open")
     x, y = small.alias("x"), small.alias("y")
     rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.probe") | F.col("y.probe")))
     rest = rest.filter((F.col("x.set") != F.col("x.leader")) & (F.col("y.set") != F.col("x.leader"))).select(F.col("x.set").alias("leader"), F.col("y.set").alias("set")).distinct()

@@ -200,6 +200,24 @@ def test_jaccard(spark, edge, heavy, monkeypatch):
     assert got == sorted((str(a), b, str(c)) for a, b, c in B.classes(pairs(df), 3, 90, 100))
 
 
+def test_open_buckets_are_told_apart_by_members(spark):
+    h = np.array([r[0] for r in spark.range(400).select(F.xxhash64(F.col("id"), F.lit(True)) % (1 << 40)).collect()])
+    i, j = np.triu_indices(400, 1)
+    sums = np.concatenate([h[i[j < c]] + h[j[j < c]] + h[c] for c in range(400)])
+    order = np.argsort(sums)
+    same = np.flatnonzero(np.diff(sums[order]) == 0)[0]
+    start = np.cumsum([0] + [c * (c - 1) // 2 for c in range(400)])
+    rows = []
+    for bucket, at in ((1, order[same]), (2, order[same + 1])):
+        c = int(np.searchsorted(start, at, "right")) - 1
+        a = np.flatnonzero(j < c)[at - start[c]]
+        rows += [(bucket, int(x), True, int(x)) for x in (i[a], j[a], c)]
+    rows += [(3, *r[1:]) for r in rows if r[0] == 1]
+    assert len({sum(int(h[r[1]]) for r in rows if r[0] == b) for b in (1, 2, 3)}) == 1
+    small = spark.createDataFrame(rows, "bucket long, set long, probe boolean, comp long")
+    assert sorted(r.bucket for r in jaccard._open(small).collect()) == [1, 2]
+
+
 def test_one_of_each(spark, edge):
     out = jaccard.one_of_each(edge)
     assert out.columns == edge.columns
