@@ -41,6 +41,7 @@ class Automaton:
     """Windows of items and the items that each belongs to."""
 
     def __init__(self, items: list[tuple[str, bytes]], k: int):
+        self.k = k
         owners: dict[bytes, list[int]] = {}
         self.names = sorted({name for name, _ in items})
         at = {name: i for i, name in enumerate(self.names)}
@@ -57,10 +58,14 @@ class Automaton:
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[int]]:
         """Which words are hit (None: none), and the items found."""
+        return self.search(words)[:2]
+
+    def search(self, words: list[bytes]) -> tuple[np.ndarray | None, set[int], bool]:
+        """Those of scan(), and whether a window of k words is among the hits."""
         if not self.some or not words:
-            return None, set()
+            return None, set(), False
         flat = f" {b' '.join(words).decode('latin-1')} "
-        hits, found = None, set()
+        hits, found, whole = None, set(), False
         for end, (n, own) in self.find.iter(flat):
             if hits is None:
                 hits = np.zeros(len(words) + 1, np.int64)
@@ -70,7 +75,8 @@ class Automaton:
             hits[last - n] += 1
             hits[last] -= 1
             found.update(own)
-        return (None, found) if hits is None else (np.cumsum(hits)[:-1] > 0, found)
+            whole = whole or n == self.k
+        return None if hits is None else np.cumsum(hits)[:-1] > 0, found, whole
 
 
 def _blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -116,7 +122,7 @@ def decontaminate(
         for b in batches:
             rows = [
                 {"n_words": n, "n_hit": 0 if h is None else int(h.sum()), "items": sorted(found), "spans": [] if h is None else _spans(t, h)}
-                for t, n, h, found in find(as_bytes(b.column(1)))
+                for t, n, h, found, _ in find(as_bytes(b.column(1)))
             ]
             out = pa.RecordBatch.from_pylist(rows, schema=arrow)
             yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], names=[key, *arrow.names])
@@ -127,13 +133,13 @@ def decontaminate(
 def clean_documents(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 8, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """The documents with fewer than k hit words and fewer than two items found. Columns stay as they are."""
+    """The documents without k consecutive words of an item and with fewer than two items found. Columns stay as they are."""
     find = _finder(_broadcast_blocks(items, item, item_text, block_bytes), k)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [(h is None or int(h.sum()) < k) and len(found) < 2 for _, _, h, found in find(as_bytes(b.column(at)))]
+            keep = [not whole and len(found) < 2 for *_, found, whole in find(as_bytes(b.column(at)))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)
@@ -145,7 +151,8 @@ def _broadcast_blocks(items: DataFrame, item: str, text: str, block_bytes: int)
 
 
 def _finder(blocks: list, k: int) -> Callable[[list[bytes | None]], Iterator[tuple]]:
-    """A function that gives, for each text: its folded bytes, words, hit words (None: none) and items found."""
+    """A function that gives, for each text: its folded bytes, words, hit words (None: none), items found, and whether
+    it holds k consecutive words of an item."""
     made: list[Automaton] = []
 
     def find(texts: list[bytes | None]) -> Iterator[tuple]:
@@ -153,6 +160,7 @@ def _finder(blocks: list, k: int) -> Callable[[list[bytes | None]], Iterator[tup
         words = [t.split() for t in folded]
         hits: list[np.ndarray | None] = [None] * len(texts)
         names: list[set[str]] = [set() for _ in texts]
+        wholes = [False] * len(texts)
         if len(blocks) == 1 and not made:
             made.append(Automaton(blocks[0].value, k))
         for block in blocks:
@@ -162,11 +170,12 @@ def _finder(blocks: list, k: int) -> Callable[[list[bytes | None]], Iterator[tup
                 a = Automaton(block.value, k)
                 vars(block).pop("_value", None)  # a worker holds one block at a time
             for i, w in enumerate(words):
-                h, found = a.scan(w)
+                h, found, whole = a.search(w)
+                wholes[i] = wholes[i] or whole
                 names[i].update(a.names[x] for x in found)
                 if h is not None:
                     hits[i] = h if hits[i] is None else hits[i] | h
-        return zip(folded, map(len, words), hits, names)
+        return zip(folded, map(len, words), hits, names, wholes)
 
     return find
 

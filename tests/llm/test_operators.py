@@ -300,6 +300,13 @@ def test_decontamination(spark, edge, block):
     assert decontam.decontaminate(df, items.limit(0)).filter("n_hit > 0").isEmpty() and decontam.decontaminate(df.limit(0), items).count() == 0
 
 
+def test_short_items_alone_do_not_contaminate(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "zz"), (3, "a b c d e f g h i")], "item_id long, text string")
+    texts = [(1, "one two three four, " * 3), (2, "zz " * 9), (3, "x b c d e f g h i x"), (4, "a b c d e f g x b c d e f g h"), (5, "zz one two three four")]
+    stay = decontam.clean_documents(spark.createDataFrame(texts, "doc_id long, text string"), items)
+    assert sorted(r.doc_id for r in stay.collect()) == [1, 2, 4]
+
+
 # ------------------------------------------------------------------ quality
 
 
