@@ -5,8 +5,8 @@ rows meet in one place, so a frequent word costs one entry a task. A count c is
 (n-gram, 1), (n-gram, 2), ...; a probe asks for them in turn and stops at the first that is missing, so a level is
 never too low. Shards are filters of their own, of 12 bits a key, and their number follows the corpus.
 
-The filter is broadcast while it is at most `broadcast_bytes`; beyond that the levels come by joins instead, from the
-same counts. Exact word counts serve the base score: words that make up a share of at least 1/HOT of all tokens (so
+The filter is the only source of levels. It is broadcast while it is at most `broadcast_bytes`; beyond that the probes
+of a chunk of texts travel to its shards, a few MB each, and the levels travel back, so scores are the same. Exact word counts serve the base score: words that make up a share of at least 1/HOT of all tokens (so
 HOT words at most) are broadcast, the others are joined.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, bounded_batches, free_shuffles, materialize, mix, slices, word_hashes
+from ._common import as_bytes, bounded_batches, drop_table, free_shuffles, materialize, mix, slices, word_hashes
 
 HOT = 2_000_000
 BROADCAST_BYTES = 256 << 20
@@ -130,9 +130,16 @@ def log_probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tot
     return np.log10(p + (1 - PAIR - WORD) / (distinct + 1))
 
 
-def _count(train: DataFrame, shards: int, orders: tuple[int, ...] = (1,)) -> DataFrame:
-    """Sums by order (1 word, 2 pair) and shard: a row with entries, total and bits (the shard's filter), and for the
-    orders in `orders` rows with the counts themselves, h and n (arrays as bytes)."""
+def _scores(h: np.ndarray, n: np.ndarray, word: np.ndarray, start: float, pair: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """Scores of texts, from expected counts of each token, of a text's beginning and of each token's pair."""
+    context = np.concatenate(([start], word[:-1]))
+    context[np.cumsum(n) - n] = start
+    return np.bincount(np.repeat(np.arange(len(n)), n), log_probability(pair, context, word, total, distinct), len(n))
+
+
+def _count(train: DataFrame, shards: int) -> DataFrame:
+    """Sums by order (1 word, 2 pair) and shard: a row with entries, total and bits (the shard's filter), and for words
+    rows with the counts themselves, h and n (arrays as bytes)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -182,7 +189,7 @@ def _count(train: DataFrame, shards: int, orders: tuple[int, ...] = (1,)) -> Dat
             shrink()
             h, n = hs[0], ns[0]
             yield row(len(h), int(n.sum()), build_filter(h, n), None, None)
-            for i in range(0, len(h) if now[0] in orders else 0, 50_000):
+            for i in range(0, len(h) if now[0] == 1 else 0, 50_000):
                 yield row(0, 0, None, h[i : i + 50_000].tobytes(), n[i : i + 50_000].tobytes())
 
         for b in batches:
@@ -273,13 +280,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
                 rare_n = np.bincount(doc[rare], minlength=len(n))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_n))), pa.int32()), pa.array(h[rare].view(np.int64)))
                 if by_filter:
-                    before = contexts(h, n)
-                    word = expected(model.levels(u, 1))
+                    word = expected(model.levels(u, 1))[inverse]
                     start = expected(model.levels(np.array([BEGIN]), 1))[0]
-                    context = np.concatenate(([start], word[inverse][:-1]))
-                    context[np.cumsum(n) - n] = start
-                    pair = expected(model.levels(pairs(before, h), 2))
-                    score = np.bincount(doc, log_probability(pair, context, word[inverse], total, distinct), len(n))
+                    pair = expected(model.levels(pairs(contexts(h, n), h), 2))
+                    score = _scores(h, n, word, start, pair, total, distinct)
                 else:
                     score = np.zeros(len(n))
                 yield pa.RecordBatch.from_arrays(
@@ -295,8 +299,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     more = materialize(more, "rare")
     out = first.drop("_rare").join(more, "_row", "left")
     if not by_filter:
-        counts = materialize(_count(plain.filter(~F.col("held_out")).select("_text"), shards, (1, 2)), "ngrams")
-        out = out.drop("score").join(_scores_by_join(plain, counts, total, distinct), "_row", "left")
+        free_shuffles(spark)
+        out = out.drop("score").join(_scores_by_shard(plain, counts, shards, total, distinct), "_row", "left")
     none = F.lit(0.0)
     base = F.col("_base") + F.coalesce("_b", none) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return out.select(
@@ -316,25 +320,108 @@ def _ready(shared) -> Filter:
     return f if hasattr(f, "table") else f.ready()
 
 
-def _scores_by_join(plain: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
-    """_row, score, with levels joined to each text's distinct pairs: no filter, no broadcast."""
+def _scores_by_shard(plain: DataFrame, counts: DataFrame, shards: int, total: int, distinct: int) -> DataFrame:
+    """_row, score, without a broadcast: the distinct words and pairs of a chunk of texts meet the filter's shards.
+
+    Tables of chunk (its first _row), ord (0 text, 1 words, 2 pairs), shard (a text's place), row and data. Distinct
+    hashes are in order and shards are ranges of them, so the levels of a chunk's shards in turn are those of its hashes.
+    """
+    spark = plain.sparkSession
+    names = ["chunk", "ord", "shard", "row", "data"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    schema = "chunk long, ord int, shard int, row long, data binary"
+    batch_of = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+
+    def distinct_of(held: list[tuple[np.ndarray, np.ndarray]], inverse: bool = False) -> list:
+        words, twos = (np.concatenate(x) for x in zip(*held))
+        return [np.unique(np.append(words, BEGIN), return_inverse=inverse), np.unique(twos, return_inverse=inverse)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size, place = 0, [], 0, 0
+
+        def probes() -> Iterator[pa.RecordBatch]:
+            for order, h in enumerate(distinct_of(held), 1):
+                cut = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+                some = [s for s in range(shards) if cut[s] < cut[s + 1]]
+                m = len(some)
+                yield batch_of([chunk] * m, [order] * m, some, [None] * m, [h[cut[s] : cut[s + 1]].tobytes() for s in some])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "_text"):
-                h, n = tokens(as_bytes(b.column(1)))
-                doc, before = np.repeat(np.arange(len(n)), n), contexts(h, n)
-                cols = (b.column(0).to_numpy()[doc], before.view(np.int64), h.view(np.int64), pairs(before, h).view(np.int64))
-                for a in range(0, len(h), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names=["_row", "v", "w", "p"])
-
-    gram = plain.select("_row", "_text").mapInArrow(run, "_row long, v long, w long, p long").groupBy("_row", "v", "w", "p").agg(F.count("*").alias("m"))
-    level = F.floor(F.log2("c")) + 1
-    middle = (F.pow(F.lit(2.0), level - 1) + F.pow(F.lit(2.0), level) - 1) / 2
-    word, pair = (_rows(counts.filter(F.col("ord") == o)).select("h", middle.alias("e")) for o in (1, 2))
-    for name, table in (("p", pair), ("v", word), ("w", word)):
-        gram = gram.join(table.select(F.col("h").alias(name), F.col("e").alias(f"_{name}")), name, "left")
-    e = lambda c: F.coalesce(c, F.lit(0.0))
-    seen = e("_v") > 0
-    p = F.when(seen, PAIR * F.least(e("_p"), e("_v")) / F.col("_v") + WORD * e("_w") / max(total, 1)).otherwise((PAIR + WORD) * e("_w") / max(total, 1))
-    return gram.groupBy("_row").agg(F.sum(F.col("m") * F.log10(p + (1 - PAIR - WORD) / (distinct + 1))).alias("score"))
+                texts, rows = as_bytes(b.column(1)), b.column(0).to_pylist()
+                h, n = tokens(texts)
+                if not held:
+                    chunk = rows[0]
+                held.append((h, pairs(contexts(h, n), h)))
+                m = len(rows)
+                yield batch_of([chunk] * m, [0] * m, range(place, place + m), rows, texts)
+                place, size = place + m, size + len(h)
+                if size >= CHUNK:
+                    yield from probes()
+                    held, size, place = [], 0, 0
+        if held:
+            yield from probes()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = model = None
+        for b in batches:
+            chunks, orders, places, data = (b.column(i).to_pylist() for i in (0, 1, 2, 4))
+            out: list[list] = [[], [], [], [], []]
+            for c, o, s, x in zip(chunks, orders, places, data):
+                if (o, s) != now:
+                    now, model = (o, s), Filter(1, {0: x} if c < 0 else {}).ready()
+                if c >= 0:
+                    level = model.levels(np.frombuffer(x, np.uint64), 1).astype(np.uint8).tobytes()
+                    for col, y in zip(out, (c, o, s, None, level)):
+                        col.append(y)
+            yield batch_of(*out)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, held, lengths, levels = None, [], [], [], ([], [])
+
+        def out() -> pa.RecordBatch:
+            (_, word_at), (_, pair_at) = distinct_of(held, True)
+            word, pair = (expected(np.concatenate(x).astype(np.int64)) for x in levels)
+            h, n = np.concatenate([x for x, _ in held]), np.concatenate(lengths)
+            got = _scores(h, n, word[word_at[:-1]], word[word_at[-1]], pair[pair_at], total, distinct)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(got)], names=["_row", "score"])
+
+        for batch in batches:
+            for b in slices(batch, "data"):
+                chunks, orders, data = (b.column(i).to_pylist() for i in (0, 1, 4))
+                i = 0
+                while i < len(chunks):
+                    if chunks[i] != now:
+                        if now is not None:
+                            yield out()
+                        now, rows, held, lengths, levels = chunks[i], [], [], [], ([], [])
+                    if orders[i]:
+                        levels[orders[i] - 1].append(np.frombuffer(data[i], np.uint8))
+                        i += 1
+                        continue
+                    end = i
+                    while end < len(chunks) and chunks[end] == now and not orders[end]:
+                        end += 1
+                    h, n = tokens(data[i:end])
+                    rows += b.column(3).slice(i, end - i).to_pylist()
+                    held.append((h, pairs(contexts(h, n), h)))
+                    lengths.append(n)
+                    i = end
+        if now is not None:
+            yield out()
+
+    # Kept as a table, so that both sides see the same chunks.
+    dealt = materialize(plain.select("_row", "_text").mapInArrow(deal, schema), "dealt")
+    bits = counts.filter("bits is not null").select(F.lit(-1).cast("long").alias("chunk"), "ord", "shard", F.lit(None).cast("long").alias("row"), F.col("bits").alias("data"))
+    parts = max(1, min(2 * shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = bits.unionByName(dealt.filter("ord > 0")).repartition(parts, "ord", "shard").sortWithinPartitions("ord", "shard", "chunk")
+    levels = materialize(asked.mapInArrow(answer, schema), "levels")
+    drop_table(counts)
+    del asked
+    free_shuffles(spark)
+    back = dealt.filter("ord = 0").unionByName(levels).repartition("chunk").sortWithinPartitions("chunk", "ord", "shard")
+    out = materialize(back.mapInArrow(score, "_row long, score double"), "scores")
+    drop_table(dealt)
+    drop_table(levels)
+    free_shuffles(spark)
+    return out

@@ -79,6 +79,17 @@ def test_lm_routes_agree_and_empty(spark):
     assert lm.score_texts(df.limit(0)).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_the_route(spark, edge, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    df = edge.select("doc_id", "text").unionByName(spark.createDataFrame(near_copies(400), "doc_id long, text string"))
+    try:
+        got = [sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in lm.score_texts(df, broadcast_bytes=b).collect()) for b in (lm.BROADCAST_BYTES, 0)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1]
+
+
 def test_filter_never_too_low():
     h = lm.mix(np.arange(1, 5000, dtype=np.uint64))
     n = np.arange(1, 5000) % 40 + 1
