@@ -39,6 +39,12 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A prefix, `base` or longer, that no column of df begins with: names made from it clash with none."""
+    while any(c.lower().startswith(base.lower()) for c in df.columns):
+        base += "_"
+    return base
+
 
 def as_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding them."""
@@ -122,7 +128,8 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str], near: int =
     left out. The text between matches (split) and the matches alternate, so running sums of their lengths give the
     places: every text is read twice at most, however many matches it has. A null text has none.
     """
-    found, gaps, none = "_found_{}", "_gaps_{}", F.array().cast("array<string>")
+    own = fresh(df, "_m")
+    found, gaps, none = own + "f_{}", own + "g_{}", F.array().cast("array<string>")
     df = df.withColumns(
         {found.format(k): F.coalesce(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), none) for k, p in patterns.items()}
     )

@@ -137,3 +137,31 @@ def top_k(rows, queries, k):
             best = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return out
+
+
+def pareto(rows, target, size):
+    """(probability, copies, taken) of one source's (row, words, hash): whole copies, then Pareto order sampling."""
+    whole = int(target // size) if size else 0
+    rest = target - whole * size
+    x = [2.0 ** (math.floor(math.log2(math.sqrt(n)) * 8) / 8) if n else 0.0 for _, n, _ in rows]
+    certain = set()
+    while True:
+        free = [i for i in range(len(rows)) if i not in certain and x[i]]
+        held = sum(rows[i][1] for i in certain)
+        scale = (rest - held) / sum(rows[i][1] * x[i] for i in free) if free else 0.0
+        more = {i for i in free if scale * x[i] >= 1}
+        if not more:
+            break
+        certain |= more
+    p = [1.0 if i in certain else scale * x[i] for i in range(len(rows))]
+    t = []
+    for (_, _, h), q in zip(rows, p):
+        u = (((h % 2**64) >> 11) + 0.5) / 2**53
+        t.append(u * (1 - q) / (u * (1 - q) + (1 - u) * q) if q > 0 else 1.0)
+    taken, filled = [0] * len(rows), 0
+    for i in sorted(range(len(rows)), key=lambda i: (t[i], rows[i][2], rows[i][1])):
+        if rest <= 0 or filled + rows[i][1] / 2 > rest:
+            break
+        filled += rows[i][1]
+        taken[i] = 1
+    return [(q, whole + n, (whole + n) * r[1]) for q, n, r in zip(p, taken, rows)]

@@ -281,6 +281,30 @@ def test_mix_prefers_weights(spark):
     assert n[9.0] > 1.3 * n[1.0]
 
 
+@pytest.mark.parametrize("cells", [4, 4096])
+def test_mix_takes_what_pareto_sampling_takes(spark, cells):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([1, 2, 3, 40, 41, 700]), f"s{i % 5 if i < 900 else 0}") for i in range(1500)] + [(7, "w " * 3000, "s2"), (9, "w w", "s1"), (9, "w w", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(df, cells=cells).collect()
+    source = {(k, len(t.split())): s for k, t, s in rows}
+    by = {}
+    for r in out:
+        by.setdefault(source[r.doc_id, r.size], []).append(r)
+    for own in by.values():
+        own.sort(key=str)
+        want = B.pareto([(r, r.size, r.row_hash) for r in own], own[0].target, own[0].source_size)
+        assert all(math.isclose(r.probability, w[0], rel_tol=1e-9) and (r.copies, r.taken) == w[1:] for r, w in zip(own, want))
+        p = sum(r.probability * r.size for r in own)
+        assert math.isclose(p, own[0].target - own[0].source_size * int(own[0].target // own[0].source_size), rel_tol=1e-9, abs_tol=1e-6)
+    docs = mixing.mixed_documents(df.withColumns({"_s": F.lit(1), "size": F.lit("x"), "_doc": F.lit(0), "row_hash": F.lit(2), "_rows": F.lit(3)}), cells=cells)
+    assert docs.columns == ["doc_id", "text", "source", "_s", "size", "_doc", "row_hash", "_rows", "copies", "taken"]
+    want = {}
+    for r in out:
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.copies
+    assert {(r.doc_id, len(r.text.split())): r.copies for r in docs.collect()} == {k: n for k, n in want.items() if n}
+
+
 # ------------------------------------------------------------------ decontamination
 
 
