@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from linkloom.operators.components import connected_components
 
-from ._common import as_bytes, bounded_batches, free_shuffles, materialize, mix, slices, windows, word_hashes
+from ._common import as_bytes, bounded_batches, free_shuffles, fresh, materialize, mix, slices, windows, word_hashes
 
 #: Sets up to this size have flexible segments only; subsets up to SMALL members are passed over.
 ALL_FLEX, SMALL, ROOM = 48, 0, 1.1
@@ -510,8 +510,8 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with one of each class kept: the one with the smallest key. Columns stay as they are (_s and _d are
-    used on the way).
+    """The documents with one of each class kept: the one with the smallest key. Columns stay as they are, and no other
+    name matters.
 
     A null or wordless text is in no class and stays. Of rows equal in key and shingles one stays. A class whose keys
     are all null keeps one row.
@@ -526,21 +526,23 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     judged = materialize(judged.filter("not _best or rows > 1"), "judged")
 
     fields = docs.columns
+    own_s, own_d = fresh(docs, "_s") + "s", fresh(docs, "_s") + "d"
+    judged = judged.withColumnsRenamed({"_s": own_s, "_d": own_d})
     at = fields.index(text)
 
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, text):
                 _, sizes, ids, _ = _sets(as_bytes(b.column(at)), k)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids.view(np.int64), mask=sizes == 0)], names=[*fields, "_s"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids.view(np.int64), mask=sizes == 0)], names=[*fields, own_s])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_s", T.LongType())])
-    own = docs.mapInArrow(with_set, schema).withColumn("_d", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)))
+    schema = T.StructType([*docs.schema.fields, T.StructField(own_s, T.LongType())])
+    own = docs.mapInArrow(with_set, schema).withColumn(own_d, F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)))
     hint = F.broadcast if judged.count() <= BROADCAST_KEYS else (lambda df: df)
-    kept = own.join(hint(judged.filter("not _best").select("_d", "_s")), ["_d", "_s"], "left_anti")
-    again = judged.filter("_best").select("_d", "_s")
+    kept = own.join(hint(judged.filter("not _best").select(own_d, own_s)), [own_d, own_s], "left_anti")
+    again = judged.filter("_best").select(own_d, own_s)
     if not again.isEmpty():
-        kept = kept.join(hint(again), ["_d", "_s"], "left_anti").unionByName(
-            kept.join(hint(again), ["_d", "_s"], "left_semi").dropDuplicates(["_d", "_s"])
+        kept = kept.join(hint(again), [own_d, own_s], "left_anti").unionByName(
+            kept.join(hint(again), [own_d, own_s], "left_semi").dropDuplicates([own_d, own_s])
         )
     return kept.select(*fields)

@@ -19,6 +19,8 @@ from ._common import materialize, n_words
 
 #: Above this many sources the source table is joined by shuffle (AQE splits a hot source), below it is broadcast.
 BROADCAST_SOURCES = 50_000
+#: A source's rows that one task sorts at the cut; beyond it the cell is cut again.
+SORT_ROWS = 1_000_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -116,30 +118,31 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], most: float, cells: int)
     """
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     table = source_targets(sized, weights, most).withColumn("_s", _name("_source")).withColumn("_whole", F.floor(ratio)).drop("_source")
-    table = materialize(table.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")), "targets")
-    hint = _hint(table)
+    table = table.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     table = materialize(table.join(_scales(sized, table), "_s", "left"), "scales")
+    hint = _hint(table)
 
     fine = F.when(F.col("_t") == 0, -1).otherwise(F.least(F.floor(F.col("_t") * (cells * cells)), F.lit(cells * cells - 1))).cast("long")
     ranked = _ranked(sized.select("_s", "_h", "size", "_x").join(hint(table.select("_s", "_scale", "_rest")), "_s")).withColumn("_fine", fine)
     ranked = ranked.withColumn("_coarse", F.floor(F.col("_fine") / cells))
 
     def cut(rows: DataFrame, cell: str, base: Column) -> DataFrame:
-        """_s, _cut, _base: the first cell in which the words reach _rest, and the words before it."""
+        """_s, _cut, _base, _rows: the first cell in which the words reach _rest, the words before it and its rows."""
         upto = F.sum("_n").over(Window.partitionBy("_s").orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        hist = rows.groupBy("_s", cell).agg(F.sum("size").alias("_n"), F.first("_rest").alias("_rest"), F.first(base).alias("_b")).withColumn("_upto", upto + F.col("_b"))
+        hist = rows.groupBy("_s", cell).agg(F.sum("size").alias("_n"), F.count("*").alias("_c"), F.first("_rest").alias("_rest"), F.first(base).alias("_b")).withColumn("_upto", upto + F.col("_b"))
         hist = hist.filter((F.col("_upto") >= F.col("_rest")) & (F.col("_rest") > 0))
-        return materialize(hist.groupBy("_s").agg(F.min(cell).alias("_cut"), F.min_by(F.col("_upto") - F.col("_n"), cell).alias("_base")), "cut")
+        return materialize(hist.groupBy("_s").agg(F.min(cell).alias("_cut"), F.min_by(F.col("_upto") - F.col("_n"), cell).alias("_base"), F.min_by("_c", cell).alias("_rows")), "cut")
 
-    first = cut(ranked, "_coarse", F.lit(0).cast("long"))
-    inside = ranked.join(hint(first), "_s").filter("_coarse = _cut")
-    second = cut(inside, "_fine", F.col("_base"))
+    edge, cell = cut(ranked, "_coarse", F.lit(0).cast("long")), "_coarse"
+    if (edge.agg(F.max("_rows")).first()[0] or 0) > SORT_ROWS:
+        edge, cell = cut(ranked.join(hint(edge.drop("_rows")), "_s").filter("_coarse = _cut"), "_fine", F.col("_base")), "_fine"
+    marks, width = edge.drop("_rows"), cells if cell == "_coarse" else cells * cells
     # All certain units lie in cell -1, which is taken whole; the place is set where sorting finds it.
     running = F.sum("size").over(Window.partitionBy("_s").orderBy("_t", "_h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = ranked.join(hint(second), "_s").filter("_fine = _cut and _fine >= 0").withColumn("_mid", F.col("_base") + running - F.col("size") / 2)
-    last = edge.filter("_mid <= _rest").groupBy("_s").agg(F.max(_place()).alias("_p"))
-    same = edge.filter("_mid <= _rest").join(last, "_s").filter(_place() == F.col("_p")).groupBy("_s").agg(F.first("_p").alias("_p"), F.count("*").alias("_mn"))
-    marks = materialize(second.join(same, "_s", "left"), "marks")
+    edge = ranked.join(hint(marks), "_s").filter(f"{cell} = _cut and _cut >= 0").withColumn("_mid", F.col("_base") + running - F.col("size") / 2)
+    mark = F.max(F.when(F.col("_mid") <= F.col("_rest"), _place())).over(Window.partitionBy("_s"))
+    taken = edge.withColumn("_p", mark).filter((F.col("_mid") <= F.col("_rest")) & (_place() == F.col("_p")))
+    marks = marks.join(taken.groupBy("_s").agg(F.first("_p").alias("_p"), F.count("*").alias("_mn")), "_s", "left")
     low, high = -(1 << 63), (1 << 63) - 1
     none = F.col("_cut").isNull()
     at = lambda f, cell, never: F.coalesce(F.col(f"_p.{f}"), F.when(none, never).when(F.col("_cut") < 0, F.lit(high if f != "t" else 0.0)).otherwise(cell))
@@ -150,7 +153,7 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], most: float, cells: int)
             "target",
             "_whole",
             "_scale",
-            at("t", F.col("_cut") / float(cells * cells), F.lit(-1.0)).alias("_mt"),
+            at("t", F.col("_cut") / float(width), F.lit(-1.0)).alias("_mt"),
             at("h", F.lit(low), F.lit(low)).alias("_mh"),
             at("n", F.lit(low), F.lit(low)).alias("_ms"),
             F.coalesce("_mn", F.lit(0)).cast("long").alias("_mn"),

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import n_of, spans_text, with_matches
+from linkloom.functions.text import let
+
+from ._common import fresh, n_of, spans_text, with_matches
 
 #: Possessive forms and look-behinds give the same matches as the plain patterns and keep long runs linear.
 PATTERNS = {
@@ -98,34 +100,60 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii", min_score: f
     spans. All other columns and rows, repeated ones too, pass unchanged; a column named `out` is replaced, and no
     other name matters.
     """
-    own = {k: f"_pii_{k}" for k in PATTERNS}
+    own = {k: fresh(docs, "_k") + k for k in PATTERNS}
     df = with_matches(docs, text, {own[k]: p for k, p in PATTERNS.items()}, NEAR)
     kinds = [_scored(k, F.col(own[k]), min_score) for k in PATTERNS]
     return df.withColumn(out, F.concat(*kinds)).drop(*own.values())
 
 
-def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """Puts [KIND] in place of each span; of overlapping ones the first stays, of equal starts the longest. Native."""
-    kind = "array<struct<start:bigint,end:bigint,kind:string>>"
+#: Characters of the pieces that a text is cut into before spans are taken out of it; spans of a block of the fold.
+PIECE, BLOCK = 4096, 64
+_KEPT = "array<struct<start:bigint,end:bigint,kind:string>>"
+
+
+def _first_of_overlapping(spans: Column) -> Column:
+    """Spans in order, those that begin inside one kept before left out. In blocks, so that long arrays stay near linear."""
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
-    kept = F.aggregate(
-        order,
-        F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]),
-            F.concat(acc, F.array(F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind")))),
-        ).otherwise(acc),
-    )
-    df = docs.withColumn("_kept", F.when(F.size(spans) > 0, kept).otherwise(F.array().cast(kind)))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.col("_kept.end"))
-    pieces = F.zip_with(
-        F.slice(before, F.lit(1), F.size("_kept")),
-        F.col("_kept"),
-        lambda p, x: F.concat(F.substring(F.col(text), p.cast("int") + 1, (x["start"] - p).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]")),
-    )
-    rest = F.substring(F.col(text), F.element_at(before, -1).cast("int") + 1, F.length(text))
-    new = F.concat(F.array_join(pieces, ""), rest)
-    return df.withColumn(text, F.when(F.size("_kept") > 0, new).otherwise(F.col(text))).drop("_kept")
+    state = lambda end, kept: F.struct(end.cast("long").alias("end"), kept.cast(_KEPT).alias("kept"))
+    one = lambda x: F.array(F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind")))
+    step = lambda acc, x: F.when(x["start"] >= acc["end"], state(-x["end"], F.concat(acc["kept"], one(x)))).otherwise(acc)
+
+    def over(o: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(o) - 1) / BLOCK).cast("int")), lambda i: F.slice(o, i * BLOCK + 1, F.lit(BLOCK)))
+
+        def block(acc: Column, b: Column) -> Column:
+            return let(F.aggregate(b, state(acc["end"], F.array()), step), lambda r: state(r["end"], F.concat(acc["kept"], r["kept"])))
+
+        return F.aggregate(blocks, state(F.lit(0), F.array()), block)["kept"]
+
+    return let(order, over)
+
+
+def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
+    """Puts [KIND] in place of each span; of overlapping ones the first stays, of equal starts the longest. Native.
+
+    A text without spans, or null, stays as it is. No other column's name matters. The text is cut into pieces once
+    and spans are taken out of those, so very long texts with many spans take no walk of their own for each span.
+    """
+    own = fresh(docs, "_r")
+    kept, cut = own + "kept", own + "cut"
+    some = F.coalesce(F.size(spans), F.lit(0)) > 0
+    df = docs.withColumn(kept, F.when(some, _first_of_overlapping(F.col(spans))).otherwise(F.array().cast(_KEPT)))
+    df = df.withColumn(cut, F.when(some, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+    def between(a: Column, b: Column) -> Column:
+        """Characters a to b of the text."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        at = lambda i: F.coalesce(F.get(F.col(cut), i), F.lit(""))
+        off, end = (a % PIECE).cast("int"), (b % PIECE).cast("int")
+        inside = F.substring(at(first), off + 1, end - off)
+        across = F.concat(F.substring(at(first), off + 1, F.lit(PIECE)), F.array_join(F.slice(F.col(cut), first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.left(at(last), end))
+        return F.when(first == last, inside).otherwise(across)
+
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col(f"{kept}.end"))
+    parts = F.zip_with(F.slice(starts, F.lit(1), F.size(kept)), F.col(kept), lambda p, x: F.concat(between(p, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    new = F.concat(F.array_join(parts, ""), between(F.element_at(starts, -1), F.length(text).cast("long")))
+    return df.withColumn(text, F.when(F.size(kept) > 0, new).otherwise(F.col(text))).drop(kept, cut)
 
 
 def digest(found: DataFrame, spans: str = "pii") -> DataFrame:

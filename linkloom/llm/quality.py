@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ._common import as_bytes, bounded_batches, mix
 
 BITS = 20
-#: The fit's bounds: labelled rows are taken in the order of a hash of their key until either is reached.
+#: The fit's bounds, parameters of learn(): labelled rows, and features of them all.
 MAX_ROWS, MAX_FEATURES = 6000, 16_000_000
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 2**63, 256, np.uint64)
@@ -147,8 +147,13 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Fits on the labelled rows that are not held out, `max_rows` at most. A key labelled twice counts by its largest label."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+    """Fits on a sample of the labelled rows that are not held out: in the order of a hash of their key, `max_rows` at
+    most, and as many as have `max_features` features together (one at least). Both bound the driver's memory.
+
+    A key labelled twice counts by its largest label, a key with several texts by the least of their feature sets, so
+    reruns fit the same model.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_y"))
     sample = known.orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
 
@@ -159,12 +164,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     # max_rows rows: a proven bound, so the sample is broadcast and the texts stay in place.
     pick = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key").select(F.col("_key").cast("string"), F.col("_y").cast("int"), "_text")
-    found = bounded_batches(pick).mapInArrow(run, "k string, y int, f binary").dropDuplicates(["k"])
+    found = bounded_batches(pick).mapInArrow(run, "k string, y int, f binary").groupBy("k").agg(F.max("y").alias("y"), F.min("f").alias("f"))
     rows, y, total = [], [], 0
     for r in found.orderBy(F.xxhash64("k"), "k").toLocalIterator():
         f = np.frombuffer(r.f, np.int32)
         total += len(f)
-        if rows and total > MAX_FEATURES:
+        if rows and total > max_features:
             break
         rows.append(f)
         y.append(r.y)

@@ -70,6 +70,19 @@ def secrets(text):
     return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
 
 
+def linked_secrets(text, scope=400):
+    """All spans: the base ones, and the weak ones with a complementary part within `scope` characters."""
+    base = [(int(x.split(":")[1]), {"assign": 0, "access": 1, "hex": 2}[x.split(":")[0]], int(x.split(":")[2]), x.split(":")[0]) for x in secrets(text)]
+    key = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])"
+    keys = [(m.start(), 3, m.end(), "key") for m in re.finditer(key, text or "") if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0])]
+    link = r"(?<![A-Za-z0-9])(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._:@/-]{4,200}"
+    ends = [(m.start(), 4, m.end(), "endpoint") for m in re.finditer(link, text or "")]
+    near = lambda a, b: a[0] != b[0] and abs(a[0] - b[0]) <= scope
+    keys = [k for k in keys if any(b[3] == "access" and near(k, b) for b in base)]
+    ends = [e for e in ends if any(near(e, b) for b in base + keys)]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(base + keys + ends)]
+
+
 def sha(parts):
     return hashlib.sha256(",".join(parts).encode()).hexdigest()
 

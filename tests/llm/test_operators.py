@@ -141,6 +141,22 @@ def test_redaction(spark, spans, edge):
     assert pii.find_pii(edge.limit(0)).count() == 0
 
 
+def test_redaction_of_long_texts(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice(["word é ", "a.b@c.de ", "x" * 5000 + " ", "10.0.0.1 ", "+12345678901 ", "\U0001f600 "]) for _ in range(2500))
+    df = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, "none here")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("_kept", "_pii_email", "_found__pii_email", "_k_email", "_mf_x", "_rkept")})
+    found = pii.find_pii(df)
+    out = {r.doc_id: r for r in pii.redact(found).collect()}
+    spans = next(r.pii for r in found.collect() if r.doc_id == 1)
+    want, at = [], 0
+    for x in sorted(spans, key=lambda x: (x.start, -x.end)):
+        if x.start >= at:
+            want += [long[at : x.start], f"[{x.kind.upper()}]"]
+            at = x.end
+    assert out[1].text == "".join(want) + long[at:] and out[1].text.count("[EMAIL]") > 300 and len(long) > 1_000_000
+    assert (out[2].text, out[3].text, out[4].text) == (None, "", "none here") and out[1]._kept == "x"
+
+
 def test_secrets(spans, edge):
     text = {r.doc_id: r.text for r in spans.collect()}
     rows = secrets.digest(secrets.find_secrets(spans)).collect()
@@ -153,6 +169,21 @@ def test_secrets(spans, edge):
     assert secrets.find_secrets(edge.limit(0)).count() == 0
 
 
+def test_linked_secrets(spark):
+    rng = random.Random(6)
+    mixed = lambda n: "Aa1" + "".join(rng.choice("ABCxyz019/+") for _ in range(n - 3))
+    parts = [lambda: mixed(40), lambda: "AKIA" + "".join(rng.choice("ABC123") for _ in range(16)), lambda: "https://h.example/" + mixed(5), lambda: "token=abcdef9", lambda: "f" * 30, lambda: "a" * 40]
+    rows = []
+    for i in range(600):
+        gap = lambda: " w" * rng.choice([1, 3, 40, 150, 199, 200, 201, 260]) + " "
+        rows.append((i, "".join(gap() + rng.choice(parts)() for _ in range(rng.randrange(1, 7))) + " é"))
+    rows += [(0, rows[0][1]), (None, rows[1][1]), (500, None), (501, " ".join(rng.choice(parts)() for _ in range(4000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_k0": F.lit(1), "_text": F.lit("x"), "_sec_key": F.lit(0), "secrets": F.lit(1)})
+    got = sorted((str(r.doc_id), r.spans) for r in secrets.digest(secrets.find_secrets(df)).collect())
+    assert got == sorted((str(k), ",".join(B.linked_secrets(t))) for k, t in rows)
+    assert sum("key:" in s for _, s in got) > 30 and sum("endpoint:" in s for _, s in got) > 30
+
+
 # ------------------------------------------------------------------ tokens
 
 
@@ -282,7 +313,8 @@ def test_mix_prefers_weights(spark):
 
 
 @pytest.mark.parametrize("cells", [4, 4096])
-def test_mix_takes_what_pareto_sampling_takes(spark, cells):
+def test_mix_takes_what_pareto_sampling_takes(spark, cells, monkeypatch):
+    monkeypatch.setattr(mixing, "SORT_ROWS", 0 if cells == 4 else mixing.SORT_ROWS)
     rng = random.Random(4)
     rows = [(i, "w " * rng.choice([1, 2, 3, 40, 41, 700]), f"s{i % 5 if i < 900 else 0}") for i in range(1500)] + [(7, "w " * 3000, "s2"), (9, "w w", "s1"), (9, "w w", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

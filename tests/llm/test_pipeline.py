@@ -37,13 +37,17 @@ def test_run(spark):
     assert out.filter(F.col("text").contains("@mail")).isEmpty()
 
 
+#: Names that operators use, or once used, on the way.
+CLASHES = ("pii", "_pii", "_s", "_ss", "_d", "_kept", "_pii_email", "_found__pii_email", "_quality", "row_hash", "_rows", "size", "doc", "set")
+
+
 def test_stages_on_edges(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, "no such words here at all, none of them")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
-    docs = spark.createDataFrame(B.EDGE, B.SCHEMA).withColumns({"n_chars": F.length("text").cast("long"), "pii": F.lit(1)})
+    docs = spark.createDataFrame(B.EDGE, B.SCHEMA).withColumns({"n_chars": F.length("text").cast("long"), **{c: F.lit(1) for c in CLASHES}})
     for name, stage in P.STAGES:
         out = stage(spark, docs, sf)
-        if name != P.STAGES[-1][0]:
-            assert out.columns == docs.columns, name
+        more = ["copies", "taken"] if name == P.STAGES[-1][0] else []
+        assert out.columns == docs.columns + more, name
         assert out.count() <= docs.count() and stage(spark, docs.limit(0), sf).count() == 0, name
