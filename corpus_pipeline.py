@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import decontam, jaccard, mixing, pii, quality
-from linkloom.llm._common import materialize, read
+from linkloom.llm._common import fresh, materialize, read
 
 THRESHOLD = 0.7
 
@@ -20,7 +20,8 @@ THRESHOLD = 0.7
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below THRESHOLD go. Learns from the labelled rows among docs that are not held out."""
     model = quality.learn(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_quality").filter(F.col("_quality") >= THRESHOLD).drop("_quality")
+    own = fresh(docs, "_quality")
+    return quality.score(docs, model, out=own).filter(F.col(own) >= THRESHOLD).drop(own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +40,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to their kind in brackets; n_chars follows the text."""
     fields = docs.columns
-    found = pii.find_pii(docs, out="_pii")
-    new = pii.redact(found, spans="_pii")
+    own = fresh(docs, "_pii")
+    new = pii.redact(pii.find_pii(docs, out=own), spans=own)
     if "n_chars" in fields:
-        n = F.when(F.size("_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        n = F.when(F.size(own) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         new = new.withColumn("n_chars", n)
     return new.select(*fields)
 
