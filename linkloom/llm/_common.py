@@ -22,6 +22,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Keys that hold more than this share of a table's rows are joined by broadcast: at most as many keys as it says.
+HOT_KEYS, HOT_ROWS = 100_000, 1000
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a table of one row a key, without putting a frequent key's rows into one task.
+
+    Keys with more than 1/HOT_KEYS of left's rows (and HOT_ROWS) are HOT_KEYS at most, so right's rows for them are
+    broadcast; rows with a null key join nothing and stay in place. Both tables are read twice, so they should be
+    written ones.
+    """
+    full = left.filter(F.col(key).isNotNull())
+    least = max(HOT_ROWS, left.count() // HOT_KEYS)
+    hot = materialize(full.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > least).select(key), "hot")
+    empty = left.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key))
+    if hot.isEmpty():
+        return full.join(right, key, "left").unionByName(empty)
+    own = F.broadcast(materialize(right.join(F.broadcast(hot), key), "hot"))
+    rest = full.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    return rest.unionByName(full.join(F.broadcast(hot), key, "left_semi").join(own, key, "left")).unionByName(empty)
+
+
 # --------------------------------------------------------------------------- Arrow side
 
 #: Bytes of an Arrow batch: a few thousand texts. Spark's default of 64 MB, doubled as buffers grow and held in both

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from linkloom.operators.components import connected_components
 
-from ._common import as_bytes, bounded_batches, free_shuffles, fresh, materialize, mix, slices, windows, word_hashes
+from ._common import as_bytes, bounded_batches, drop_table, free_shuffles, fresh, join_one, materialize, mix, slices, windows, word_hashes
 
 #: Sets up to this size have flexible segments only; subsets up to SMALL members are passed over.
 ALL_FLEX, SMALL, ROOM = 48, 0, 1.1
@@ -43,6 +43,8 @@ CHUNK = 800_000
 HEAVY = 32
 #: Keys are broadcast up to this many; beyond it they are joined by shuffle.
 BROADCAST_KEYS = 200_000
+#: Bits of a set's id that are used (tests use fewer, so that ids clash).
+ID_MASK = np.uint64(2**64 - 1)
 #: A cell's sets and text bytes, at most (one set at least).
 CELL_SETS, CELL_BYTES = 256, 4 << 20
 
@@ -165,8 +167,11 @@ def scheme(num: int, den: int) -> Scheme:
     return Scheme(num, den)
 
 
-def _sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """members, sizes, id and check of the shingle sets of lower-cased texts."""
+def _sets(texts: list[bytes | None], k: int, clash: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """members, sizes, id and check of the shingle sets of lower-cased texts.
+
+    id and check are 64 bits of two hashes. clash: ids that stand for several checks; those are replaced by a mix of both.
+    """
     words = [t.lower().split() if t else [] for t in texts]
     s, doc = shingle_hashes(words, k)
     sizes = np.bincount(doc, minlength=len(texts)).astype(np.int64)
@@ -174,8 +179,11 @@ def _sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray, np
     full = np.flatnonzero(sizes)
     if len(full):
         first = (np.cumsum(sizes) - sizes)[full]
-        ids[full] = mix(np.add.reduceat(mix(s), first))
+        ids[full] = mix(np.add.reduceat(mix(s), first)) & mask
         check[full] = mix(np.add.reduceat(mix(s + np.uint64(5)), first) + ids[full])
+        if len(clash):
+            again = np.flatnonzero(np.isin(ids, clash) & (sizes > 0))
+            ids[again] = mix(ids[again] ^ mix(check[again]))
     return s, sizes, ids, check
 
 
@@ -195,13 +203,13 @@ def bits_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _describe(docs: DataFrame, k: int) -> DataFrame:
+def _describe(docs: DataFrame, k: int, clash: np.ndarray) -> DataFrame:
     """doc, th (as given), n_shingles, set, check (null for empty sets) and bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
-                s, sizes, ids, check = _sets(as_bytes(b.column(1)), k)
+                s, sizes, ids, check = _sets(as_bytes(b.column(1)), k, clash, ID_MASK)
                 none = sizes == 0
                 end = np.cumsum(sizes)
                 bits = [parity_bits(s[j - n : j], int(n)) if n else None for j, n in zip(end, sizes)]
@@ -227,7 +235,7 @@ def _plausible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFr
     return full.mapInArrow(run, "leader long, set long")
 
 
-def _buckets(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFrame:
+def _buckets(docs: DataFrame, k: int, num: int, den: int, parts: int, clash: np.ndarray) -> DataFrame:
     """bucket, set, low (the bits that describe the entry) and n: the members of every bucket of n sets, two at least
     and one of them a probe."""
 
@@ -254,7 +262,7 @@ def _buckets(docs: DataFrame, k: int, num: int, den: int, parts: int) -> DataFra
 
         for batch in batches:
             for b in slices(batch, "text"):
-                s, sizes, ids, _ = _sets(as_bytes(b.column(1)), k)
+                s, sizes, ids, _ = _sets(as_bytes(b.column(1)), k, clash, ID_MASK)
                 full = sizes > 0
                 # Equal sets of a slice are entered once.
                 _, first = np.unique(ids, return_index=True)
@@ -355,12 +363,18 @@ def _verified(cells: DataFrame, k: int, num: int, den: int, star: bool) -> DataF
             return x
 
         two = len({r[0] for r in rows}) == 2
-        order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+        order = [i for i in sorted(range(len(rows)), key=lambda i: len(sets[i])) if len(sets[i])]
+        if not order:
+            return
+        size = np.array([len(sets[i]) for i in order])
+        # Parity bits of all sets at one width: the pairs that they rule out are never looked at one by one.
+        width = max(64, min(2048, 1 << int(size.max(initial=1) - 1).bit_length()))
+        maps = np.stack([np.frombuffer(parity_bits(sets[i], width)[: width // 8], np.uint64) for i in order])
         for x, i in enumerate(order):
-            most = len(sets[i]) * den // num
-            for j in order[x + 1 :]:
-                if len(sets[j]) > most:
-                    break
+            end = int(np.searchsorted(size, size[x] * den // num, "right"))
+            apart = np.bitwise_count(maps[x + 1 : end] ^ maps[x]).sum(axis=1)
+            for y in np.flatnonzero(apart <= sch.gap(size[x], size[x + 1 : end])) + x + 1:
+                j = order[y]
                 if two and rows[i][0] == rows[j][0] or find(rows[i][2]) == find(rows[j][2]):
                     continue
                 if linked(i, j):
@@ -415,10 +429,11 @@ def _open(small: DataFrame) -> DataFrame:
     return several.groupBy("who").agg(F.min("bucket").alias("bucket")).select("bucket")
 
 
-def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Two tables: each row's set (doc, n_shingles, set), and links between sets (a, b).
+def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Two tables: each row's set (doc, n_shingles, set), and links between sets (a, b); and the ids that clashed.
 
-    The links connect exactly the sets that are connected by pairs of Jaccard similarity num/den or more: every
+    Sets are equal where 128 bits of two hashes agree: ids of 64 bits that stand for several checks are told apart by
+    both before anything is joined by them. The links connect exactly the sets that are connected by pairs of Jaccard similarity num/den or more: every
     component is spanned, pairs inside one are not all listed.
     """
     plain = bounded_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
@@ -426,9 +441,23 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     parts = 1
     while parts < n_bytes / 6 / (1 << 20):
         parts *= 2
-    described = materialize(_describe(plain, k), "sets")
+    clash = np.zeros(0, np.uint64)
+    while True:
+        described = materialize(_describe(plain, k, clash), "sets")
+        first = F.min(F.struct(F.col("doc").isNull(), "doc", "th", "n_shingles", "bits")).alias("x")
+        sizes = described.filter("set is not null").groupBy("set").agg(first, F.min("check").alias("lo"), F.max("check").alias("hi"))
+        sizes = materialize(
+            sizes.select("set", F.col("x.doc").alias("doc"), F.col("x.th").alias("th"), F.col("x.n_shingles").alias("n"), F.col("x.bits").alias("bits"), (F.col("lo") != F.col("hi")).alias("clash")), "sizes"
+        )
+        # About n**2 / 2**65 of n sets: none, or a handful.
+        more = np.array([r.set for r in sizes.filter("clash").select("set").toLocalIterator()], np.int64).view(np.uint64)
+        if not len(more):
+            break
+        drop_table(described)
+        drop_table(sizes)
+        clash = np.concatenate((clash, more))
     # Read three times within one job: kept on the executors' disks, with its lineage, for that long.
-    found = _buckets(plain.select("doc", "text"), k, num, den, parts).persist(StorageLevel.DISK_ONLY)
+    found = _buckets(plain.select("doc", "text"), k, num, den, parts, clash).persist(StorageLevel.DISK_ONLY)
     members = materialize(_settled(found).withColumn("heavy", F.col("n") > HEAVY), "settled")
     found.unpersist()
     free_shuffles(docs.sparkSession)
@@ -438,9 +467,6 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     spark = docs.sparkSession
     star = members.filter("set <> leader").select("leader", "set", "heavy").groupBy("leader", "set").agg(F.bool_or("heavy").alias("heavy"))
     star = materialize(star, "pairs")
-    sizes = described.filter("set is not null").groupBy("set").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "th", "n_shingles", "bits")).alias("x"))
-    sizes = materialize(sizes.select("set", F.col("x.doc").alias("doc"), F.col("x.th").alias("th"), F.col("x.n_shingles").alias("n"), F.col("x.bits").alias("bits")), "sizes")
-
     def texts_of(wanted: DataFrame) -> DataFrame:
         """set, text, size of the sets wanted: of equal sets the text of the smallest key."""
         first = materialize(sizes.select("set", F.col("doc").alias("_d"), F.col("th").alias("_t")).join(wanted.distinct(), "set"), "first")
@@ -487,7 +513,7 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         "comp",
     )
     links = links.unionByName(verify(grid, texts, False))
-    return described.select("doc", "n_shingles", "set"), links
+    return described.select("doc", "n_shingles", "set"), links, clash
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -498,17 +524,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     A null or wordless text has size 0, and is its own component. Keys are integers; rows that share a key and repeated
     rows each have their row. A null key is never a component_id, unless it stands alone. An empty table gives none.
     """
-    sets, links = similar_sets(docs, key, text, k, num, den)
-    comps = connected_components(links).withColumnRenamed("id", "set")
-    named = materialize(sets.join(comps, "set", "left").withColumn("comp", F.coalesce("component", "set")).select("doc", "n_shingles", "comp"), "classes")
+    sets, links, _ = similar_sets(docs, key, text, k, num, den)
+    comps = materialize(connected_components(links).withColumnRenamed("id", "set"), "components")
+    named = materialize(join_one(sets, comps, "set").select("doc", "n_shingles", F.coalesce("component", "set").alias("comp")), "classes")
     least = named.filter("comp is not null").groupBy("comp").agg(F.min("doc").alias("component_id"))
-    out = named.join(least, "comp", "left")
+    out = join_one(named, materialize(least, "least"), "comp")
     return out.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 
-
-
-
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents with one of each class kept: the one with the smallest key. Columns stay as they are, and no other
     name matters.
@@ -516,13 +539,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     A null or wordless text is in no class and stays. Of rows equal in key and shingles one stays. A class whose keys
     are all null keeps one row.
     """
-    sets, links = similar_sets(docs, key, text, k, num, den)
-    comps = connected_components(links).withColumnRenamed("id", "set")
+    sets, links, clash = similar_sets(docs, key, text, k, num, den)
+    comps = materialize(connected_components(links).withColumnRenamed("id", "set"), "components")
     place = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), F.col("set"))
-    rows = sets.filter("set is not null").join(comps, "set", "left").select(F.coalesce("component", "set").alias("comp"), place.alias("place"))
+    rows = join_one(sets.filter("set is not null"), comps, "set").select(F.coalesce("component", "set").alias("comp"), place.alias("place"))
     rows = materialize(rows.groupBy("comp", "place").agg(F.count("*").alias("rows")), "rows")
-    best = rows.groupBy("comp").agg(F.min("place").alias("best"))
-    judged = rows.join(best, "comp").select(F.col("place.doc").alias("_d"), F.col("place.set").alias("_s"), (F.col("place") == F.col("best")).alias("_best"), "rows")
+    best = materialize(rows.groupBy("comp").agg(F.min("place").alias("best")), "best")
+    judged = join_one(rows, best, "comp").select(F.col("place.doc").alias("_d"), F.col("place.set").alias("_s"), (F.col("place") == F.col("best")).alias("_best"), "rows")
     judged = materialize(judged.filter("not _best or rows > 1"), "judged")
 
     fields = docs.columns
@@ -533,7 +556,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, text):
-                _, sizes, ids, _ = _sets(as_bytes(b.column(at)), k)
+                _, sizes, ids, _ = _sets(as_bytes(b.column(at)), k, clash, ID_MASK)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids.view(np.int64), mask=sizes == 0)], names=[*fields, own_s])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(own_s, T.LongType())])

@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import brute as B  # noqa: E402
 
+from linkloom.llm import _common as C  # noqa: E402
 from linkloom.llm import bpe, decontam, jaccard, lm, mixing, pii, quality, secrets, substring, topk  # noqa: E402
 
 
@@ -242,6 +243,18 @@ def test_jaccard(spark, edge, heavy, monkeypatch):
     assert got == sorted((str(a), b, str(c)) for a, b, c in B.classes(pairs(df), 3, 90, 100))
 
 
+def test_ids_that_clash_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ID_MASK", np.uint64(15))
+    monkeypatch.setattr(jaccard, "HEAVY", 8)
+    monkeypatch.setattr(C, "HOT_ROWS", 10)
+    rows = near_copies(150) + [(1000 + i, "the same text " * 3) for i in range(40)] + [(2000 + i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(df).collect())
+    assert got == sorted(B.classes(rows, 3, 90, 100))
+    kept = {r.doc_id for r in jaccard.one_of_each(df).collect()}
+    assert kept == {c for _, _, c in B.classes(rows, 5, 80, 100)}
+
+
 def test_open_buckets_are_told_apart_by_members(spark):
     h = np.array([r[0] for r in spark.range(400).select(F.xxhash64(F.col("id"), F.lit(True)) % (1 << 40)).collect()])
     i, j = np.triu_indices(400, 1)
