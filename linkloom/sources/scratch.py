@@ -9,14 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Has Spark remove a job's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where that is unset (tests, one machine) a temporary one is set."""
+    """The folder that spark.checkpoint.dir names. Where that is unset, a temporary one is set in local mode only: on a
+    cluster each executor would write to a disk of its own."""
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="linkloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -32,11 +38,17 @@ def remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes a table to the shared folder and reads it back: its lineage ends there and lost executors cost no rerun.
 
-    drop_table() removes it early; what is left goes when the driver's Python ends.
+    The shuffle files of the job that wrote it go with its end. drop_table() removes the table early; what is left
+    goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     atexit.register(_quietly, spark, path)
@@ -44,7 +56,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now; it does so when their handles are collected."""
+    """Lets Spark delete the shuffle files of a table that was persisted and is no longer, which no job's end frees: it
+    does so when their handles are collected, on the driver alone."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
