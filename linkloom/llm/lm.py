@@ -5,9 +5,15 @@ rows meet in one place, so a frequent word costs one entry a task. A count c is
 (n-gram, 1), (n-gram, 2), ...; a probe asks for them in turn and stops at the first that is missing, so a level is
 never too low. Shards are filters of their own, of 12 bits a key, and their number follows the corpus.
 
-The filter is the only source of levels. It is broadcast while it is at most `broadcast_bytes`; beyond that the probes
-of a chunk of texts travel to its shards, a few MB each, and the levels travel back, so scores are the same. Exact word counts serve the base score: words that make up a share of at least 1/HOT of all tokens (so
-HOT words at most) are broadcast, the others are joined.
+A level stands for the middle of its counts. So that probabilities add up to 1 for every context, each is divided by
+the sum of what the filter itself holds: pairs lie in the shard of their context (named by its first CONTEXT bits), and
+the shard keeps the context's total exactly, as keys for its length in bits and for each bit that is set. Words are
+divided by the sum over all words. Only a false positive (about 1 probe in 200) adds to such a sum.
+
+The filter is the only source of levels and totals. It is broadcast while it is at most `broadcast_bytes`; beyond that
+the probes of a chunk of texts travel to its shards, a few MB each, and the answers travel back, so scores are the same.
+Exact word counts serve the base score: words that make up a share of at least 1/HOT of all tokens (so HOT words at
+most) are broadcast, the others are joined.
 """
 
 from __future__ import annotations
@@ -28,11 +34,15 @@ HOT = 2_000_000
 BROADCAST_BYTES = 256 << 20
 #: Filter: bits a key and probes a key. Chunk: tokens that a task counts at once.
 KEY_BITS, PROBES, CHUNK = 12, 5, 1_500_000
+#: Bits of a pair's hash that come from its context.
+CONTEXT = 38
 #: Weights of the pair, word and uniform parts; a context that was never seen gives its weight to the word part.
 PAIR, WORD = 0.6, 0.35
 #: Hashes of what no word can be: the end of a text and its beginning.
 END, BEGIN = (np.uint64(x) for x in word_hashes([b" ", b"  "]))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the keys of totals apart from those of pairs.
+_TOTAL = np.uint64(0x5851F42D4C957F2D)
 
 
 def held_out(key: str) -> Column:
@@ -58,8 +68,13 @@ def contexts(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def contexts_of(pair: np.ndarray) -> np.ndarray:
+    """What a pair's hash tells of its context; of contexts()' hashes it gives the same."""
+    return pair >> np.uint64(64 - CONTEXT) << np.uint64(64 - CONTEXT)
+
+
 def pairs(context: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix(context * _STEP + h)
+    return contexts_of(context) | mix(context * _STEP + h) >> np.uint64(CONTEXT)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -80,12 +95,31 @@ def _keys(h: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a, mix(a) | np.uint64(1)
 
 
-def build_filter(h: np.ndarray, counts: np.ndarray) -> bytes:
+def totals_of(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of pairs in order, and twice the sum of expected counts of each, less 1: a positive whole number."""
+    twice = (2 * expected(levels_of(counts))).astype(np.int64)
+    context = contexts_of(h)
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return context[first], (np.add.reduceat(twice, first) if len(h) else twice) - 1
+
+
+def _bit_length(v: np.ndarray) -> np.ndarray:
+    return np.where(v > 0, np.frexp(v.astype(np.float64))[1], 0)
+
+
+def build_filter(h: np.ndarray, counts: np.ndarray, order: int = 1, key_bits: int = KEY_BITS) -> bytes:
+    """Bits of one shard: the levels of n-grams and, for pairs (order 2, in order), their contexts' totals."""
     level = levels_of(counts)
-    size = max(64, int(level.sum()) * KEY_BITS // 8 * 8)
+    keys = [(h[level >= j], j) for j in range(1, int(level.max(initial=0)) + 1)]
+    if order == 2:
+        context, total = totals_of(h, counts)
+        context, n = context ^ _TOTAL, _bit_length(total)
+        keys += [(context[n >= j], j) for j in range(1, int(n.max(initial=0)) + 1)]
+        keys += [(context[(n > j + 1) & (total >> j & 1 == 1)], 64 + j) for j in range(int(n.max(initial=1)) - 1)]
+    size = max(64, sum(len(x) for x, _ in keys) * key_bits // 8 * 8)
     bits = np.zeros(size, bool)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        a, b = _keys(h[level >= j], j)
+    for x, j in keys:
+        a, b = _keys(x, j)
         for i in range(PROBES):
             bits[((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -106,40 +140,59 @@ class Filter:
         self.parts = {}
         return self
 
-    def levels(self, h: np.ndarray, order: int) -> np.ndarray:
+    def _place(self, h: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         shard = shard_of(h, self.shards) + (order - 1) * self.shards
+        return self.size[shard], self.offset[shard]
+
+    def _has(self, h: np.ndarray, j: int, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        a, b = _keys(h, j)
+        ok = np.ones(len(h), bool)
+        for i in range(PROBES):
+            at = ((a[ok] + np.uint64(i) * b[ok]) % size[ok]).astype(np.int64) + offset[ok]
+            ok[ok] = (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return ok
+
+    def _unary(self, h: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
         out, live, j = np.zeros(len(h), np.int64), np.arange(len(h)), 0
-        while len(live) and j < 64:
+        while len(live) and j < 63:
             j += 1
-            a, b = _keys(h[live], j)
-            size, off = self.size[shard[live]], self.offset[shard[live]]
-            ok = np.ones(len(live), bool)
-            for i in range(PROBES):
-                at = ((a[ok] + np.uint64(i) * b[ok]) % size[ok]).astype(np.int64) + off[ok]
-                ok[ok] = (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[ok]
+            live = live[self._has(h[live], j, size[live], offset[live])]
             out[live] = j
         return out
 
-
-def log_probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """log10 of the smoothed probability, from expected counts of the pair, its context and its word."""
+    def levels(self, h: np.ndarray, order: int) -> np.ndarray:
+        return self._unary(h, *self._place(h, order))
+
+    def totals(self, context: np.ndarray, order: int = 2) -> np.ndarray:
+        """The sums of expected counts of contexts' pairs; 0 for contexts that were never seen."""
+        context = contexts_of(context)
+        size, offset = self._place(context, order)
+        h = context ^ _TOTAL
+        n = self._unary(h, size, offset)
+        v = np.where(n > 0, np.int64(1) << np.maximum(n - 1, 0), 0)
+        for j in range(int(n.max(initial=1)) - 1):
+            who = np.flatnonzero(n > j + 1)
+            v[who] += self._has(h[who], 64 + j, size[who], offset[who]).astype(np.int64) << j
+        return np.where(v > 0, (v + 1) / 2.0, 0.0)
+
+
+def log_probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, mass: float, distinct: int) -> np.ndarray:
+    """log10 of the smoothed probability, from expected counts of the pair and word, and the sums that they are part of."""
     seen = context > 0
     share = np.minimum(pair, context) / np.where(seen, context, 1.0)
-    p = np.where(seen, PAIR, 0.0) * share + np.where(seen, WORD, PAIR + WORD) * word / max(total, 1)
-    return np.log10(p + (1 - PAIR - WORD) / (distinct + 1))
+    p = np.where(seen, PAIR, 0.0) * share + np.where(seen, WORD, PAIR + WORD) * word / max(mass, 1.0)
+    # Without any training word, all of the weight is uniform.
+    return np.log10(p + (1 - PAIR - WORD if mass else 1.0) / (distinct + 1))
 
 
-def _scores(h: np.ndarray, n: np.ndarray, word: np.ndarray, start: float, pair: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """Scores of texts, from expected counts of each token, of a text's beginning and of each token's pair."""
-    context = np.concatenate(([start], word[:-1]))
-    context[np.cumsum(n) - n] = start
-    return np.bincount(np.repeat(np.arange(len(n)), n), log_probability(pair, context, word, total, distinct), len(n))
+def _scores(n: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray, mass: float, distinct: int) -> np.ndarray:
+    """Scores of texts of n tokens, from expected counts of each token and its pair, and its context's total."""
+    return np.bincount(np.repeat(np.arange(len(n)), n), log_probability(pair, context, word, mass, distinct), len(n))
 
 
-def _count(train: DataFrame, shards: int) -> DataFrame:
-    """Sums by order (1 word, 2 pair) and shard: a row with entries, total and bits (the shard's filter), and for words
-    rows with the counts themselves, h and n (arrays as bytes)."""
+def _count(train: DataFrame, shards: int, key_bits: int = KEY_BITS) -> DataFrame:
+    """Sums by order (1 word, 2 pair) and shard: a row with entries, total, mass (expected counts) and bits (the shard's
+    filter), and for words rows with the counts themselves, h and n (arrays as bytes)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -160,8 +213,7 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for b in slices(batch, "_text"):
                 h, n = tokens(as_bytes(b.column(0)))
-                # A text's beginning counts as a context, so it is a word of the model (but no token of the base).
-                held.append((np.concatenate((h, np.full(len(n), BEGIN, np.uint64))), pairs(contexts(h, n), h)))
+                held.append((h, pairs(contexts(h, n), h)))
                 size += len(h)
                 if size >= CHUNK:
                     yield out()
@@ -180,17 +232,17 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
             hs, ns, waiting = [h[first]], [np.add.reduceat(n, first) if len(h) else n], 0
 
-        def row(entries: int, total: int, bits: bytes | None, h: bytes | None, n: bytes | None) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            cols = [pa.array([x], t) for x, t in zip((*now, entries, total, bits, h, n), kinds)]
-            return pa.RecordBatch.from_arrays(cols, names=["ord", "shard", "entries", "total", "bits", "h", "n"])
+        def row(entries: int, total: int, mass: float, bits: bytes | None, h: bytes | None, n: bytes | None) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+            cols = [pa.array([x], t) for x, t in zip((*now, entries, total, mass, bits, h, n), kinds)]
+            return pa.RecordBatch.from_arrays(cols, names=["ord", "shard", "entries", "total", "mass", "bits", "h", "n"])
 
         def out() -> Iterator[pa.RecordBatch]:
             shrink()
             h, n = hs[0], ns[0]
-            yield row(len(h), int(n.sum()), build_filter(h, n), None, None)
+            yield row(len(h), int(n.sum()), float(expected(levels_of(n)).sum()), build_filter(h, n, now[0], key_bits), None, None)
             for i in range(0, len(h) if now[0] == 1 else 0, 50_000):
-                yield row(0, 0, None, h[i : i + 50_000].tobytes(), n[i : i + 50_000].tobytes())
+                yield row(0, 0, 0.0, None, h[i : i + 50_000].tobytes(), n[i : i + 50_000].tobytes())
 
         for b in batches:
             for order, s, h, n in zip(*(c.to_pylist() for c in b.columns)):
@@ -209,7 +261,7 @@ def _count(train: DataFrame, shards: int) -> DataFrame:
     spark = train.sparkSession
     parts = max(1, min(2 * shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     packed = train.mapInArrow(build, "ord int, shard int, h binary, n binary").repartition(parts, "ord", "shard").sortWithinPartitions("ord", "shard")
-    return packed.mapInArrow(merge, "ord int, shard int, entries long, total long, bits binary, h binary, n binary")
+    return packed.mapInArrow(merge, "ord int, shard int, entries long, total long, mass double, bits binary, h binary, n binary")
 
 
 def _rows(counts: DataFrame) -> DataFrame:
@@ -225,12 +277,13 @@ def _rows(counts: DataFrame) -> DataFrame:
     return counts.filter("h is not null").select("h", "n").mapInArrow(run, "h long, c long")
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT, key_bits: int = KEY_BITS) -> DataFrame:
     """Returns key, held_out, n_tokens, n_known, train_tokens, base_score and score, a row for each input row.
 
     Learns from the rows that are not held out. Words are runs of bytes other than x20 and x09 to x0D, A-Z lower-cased;
     a null or empty text is its end alone. base_score: sum of log10((c + 1) / (N + V + 1)) over tokens, with exact
-    counts. score: the model's log10 probability. Without training rows all counts are 0. Other columns play no part.
+    counts. score: the model's log10 probability of the text: at each token the probabilities of all words, the end and
+    whatever is unknown (as one) add up to 1, but for false positives. Without training rows all counts are 0. Other columns play no part.
     """
     spark = docs.sparkSession
     plain = bounded_batches(docs).select(F.col(key).alias("_key"), held_out(key).alias("held_out"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
@@ -239,17 +292,15 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     while shards < n_bytes / 6 / (1 << 20):
         shards *= 2
     # Merged at full width on the executors' disks first, then written as a few files, so that the shuffle can go.
-    merged = _count(plain.filter(~F.col("held_out")).select("_text"), shards).persist(StorageLevel.DISK_ONLY)
+    merged = _count(plain.filter(~F.col("held_out")).select("_text"), shards, key_bits).persist(StorageLevel.DISK_ONLY)
     merged.count()
     counts = materialize(merged.coalesce(max(1, shards // 32)), "ngrams")
     merged.unpersist()
     free_shuffles(spark)
-    size = counts.agg(
-        F.sum(F.octet_length("bits")).alias("bytes"), F.sum(F.when(F.col("ord") == 1, F.col("total"))).alias("n"), F.sum(F.when(F.col("ord") == 1, F.col("entries"))).alias("v")
-    ).first()
-    words = _rows(counts.filter("ord = 1")).filter(F.col("h") != F.lit(int(BEGIN.view(np.int64))))
-    exact = words.agg(F.sum("c"), F.count("*")).first()
-    total, distinct = exact[0] or 0, exact[1]
+    of = lambda c: F.sum(F.when(F.col("ord") == 1, F.col(c))).alias(c)
+    size = counts.agg(F.sum(F.octet_length("bits")).alias("bytes"), of("total"), of("entries"), of("mass")).first()
+    words = _rows(counts.filter("ord = 1"))
+    total, distinct, mass = size.total or 0, size.entries or 0, size.mass or 0.0
     # At most `hot` words can each hold 1/hot of all tokens.
     common = words.filter(F.col("c") >= max(1, total // hot)).toPandas() if total else None
     order = np.argsort(common["h"].to_numpy()) if total else []
@@ -281,9 +332,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_n))), pa.int32()), pa.array(h[rare].view(np.int64)))
                 if by_filter:
                     word = expected(model.levels(u, 1))[inverse]
-                    start = expected(model.levels(np.array([BEGIN]), 1))[0]
-                    pair = expected(model.levels(pairs(contexts(h, n), h), 2))
-                    score = _scores(h, n, word, start, pair, total, distinct)
+                    before, at = np.unique(contexts(h, n), return_inverse=True)
+                    pair = expected(model.levels(pairs(before[at], h), 2))
+                    score = _scores(n, word, model.totals(before)[at], pair, mass, distinct)
                 else:
                     score = np.zeros(len(n))
                 yield pa.RecordBatch.from_arrays(
@@ -291,6 +342,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
                     names=["_key", "held_out", "n_tokens", "_base", "_known", "_rare", "score", "_row"],
                 )
 
+    if not by_filter:
+        plain = materialize(plain, "texts")  # its numbers are used twice
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("_key", kind), *T._parse_datatype_string("held_out boolean, n_tokens long, _base double, _known long, _rare array<long>, score double, _row long").fields])
     first = materialize(plain.mapInArrow(run, schema), "scored")
@@ -299,8 +352,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     more = materialize(more, "rare")
     out = first.drop("_rare").join(more, "_row", "left")
     if not by_filter:
-        free_shuffles(spark)
-        out = out.drop("score").join(_scores_by_shard(plain, counts, shards, total, distinct), "_row", "left")
+        out = out.drop("score").join(_scores_by_shard(plain, counts, shards, mass, distinct), "_row", "left")
     none = F.lit(0.0)
     base = F.col("_base") + F.coalesce("_b", none) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return out.select(
@@ -320,11 +372,12 @@ def _ready(shared) -> Filter:
     return f if hasattr(f, "table") else f.ready()
 
 
-def _scores_by_shard(plain: DataFrame, counts: DataFrame, shards: int, total: int, distinct: int) -> DataFrame:
+def _scores_by_shard(plain: DataFrame, counts: DataFrame, shards: int, mass: float, distinct: int) -> DataFrame:
     """_row, score, without a broadcast: the distinct words and pairs of a chunk of texts meet the filter's shards.
 
-    Tables of chunk (its first _row), ord (0 text, 1 words, 2 pairs), shard (a text's place), row and data. Distinct
-    hashes are in order and shards are ranges of them, so the levels of a chunk's shards in turn are those of its hashes.
+    Tables of chunk (its first _row), ord (0 text, 1 words, 2 pairs, 3 totals of the pairs' contexts), shard (a text's
+    place), row and data. Distinct hashes are in order and shards are ranges of them, so the answers of a chunk's shards
+    in turn are those of its hashes.
     """
     spark = plain.sparkSession
     names = ["chunk", "ord", "shard", "row", "data"]
@@ -333,8 +386,7 @@ def _scores_by_shard(plain: DataFrame, counts: DataFrame, shards: int, total: in
     batch_of = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     def distinct_of(held: list[tuple[np.ndarray, np.ndarray]], inverse: bool = False) -> list:
-        words, twos = (np.concatenate(x) for x in zip(*held))
-        return [np.unique(np.append(words, BEGIN), return_inverse=inverse), np.unique(twos, return_inverse=inverse)]
+        return [np.unique(np.concatenate(x), return_inverse=inverse) for x in zip(*held)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, size, place = 0, [], 0, 0
@@ -371,19 +423,24 @@ def _scores_by_shard(plain: DataFrame, counts: DataFrame, shards: int, total: in
                 if (o, s) != now:
                     now, model = (o, s), Filter(1, {0: x} if c < 0 else {}).ready()
                 if c >= 0:
-                    level = model.levels(np.frombuffer(x, np.uint64), 1).astype(np.uint8).tobytes()
-                    for col, y in zip(out, (c, o, s, None, level)):
-                        col.append(y)
+                    h = np.frombuffer(x, np.uint64)
+                    found = [(o, model.levels(h, 1).astype(np.uint8).tobytes())]
+                    if o == 2:
+                        found.append((3, model.totals(np.unique(contexts_of(h)), 1).tobytes()))
+                    for o_, y in found:
+                        for col, z in zip(out, (c, o_, s, None, y)):
+                            col.append(z)
             yield batch_of(*out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, held, lengths, levels = None, [], [], [], ([], [])
+        now, rows, held, lengths, answers = None, [], [], [], ([], [], [])
 
         def out() -> pa.RecordBatch:
-            (_, word_at), (_, pair_at) = distinct_of(held, True)
-            word, pair = (expected(np.concatenate(x).astype(np.int64)) for x in levels)
-            h, n = np.concatenate([x for x, _ in held]), np.concatenate(lengths)
-            got = _scores(h, n, word[word_at[:-1]], word[word_at[-1]], pair[pair_at], total, distinct)
+            (_, word_at), (two, pair_at) = distinct_of(held, True)
+            word, pair = (expected(np.frombuffer(b"".join(x), np.uint8).astype(np.int64)) for x in answers[:2])
+            _, context_at = np.unique(contexts_of(two), return_inverse=True)
+            context = np.frombuffer(b"".join(answers[2]), np.float64)[context_at]
+            got = _scores(np.concatenate(lengths), word[word_at], context[pair_at], pair[pair_at], mass, distinct)
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(got)], names=["_row", "score"])
 
         for batch in batches:
@@ -394,9 +451,9 @@ def _scores_by_shard(plain: DataFrame, counts: DataFrame, shards: int, total: in
                     if chunks[i] != now:
                         if now is not None:
                             yield out()
-                        now, rows, held, lengths, levels = chunks[i], [], [], [], ([], [])
+                        now, rows, held, lengths, answers = chunks[i], [], [], [], ([], [], [])
                     if orders[i]:
-                        levels[orders[i] - 1].append(np.frombuffer(data[i], np.uint8))
+                        answers[orders[i] - 1].append(data[i])
                         i += 1
                         continue
                     end = i
@@ -412,16 +469,14 @@ def _scores_by_shard(plain: DataFrame, counts: DataFrame, shards: int, total: in
 
     # Kept as a table, so that both sides see the same chunks.
     dealt = materialize(plain.select("_row", "_text").mapInArrow(deal, schema), "dealt")
+    drop_table(plain)
     bits = counts.filter("bits is not null").select(F.lit(-1).cast("long").alias("chunk"), "ord", "shard", F.lit(None).cast("long").alias("row"), F.col("bits").alias("data"))
     parts = max(1, min(2 * shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     asked = bits.unionByName(dealt.filter("ord > 0")).repartition(parts, "ord", "shard").sortWithinPartitions("ord", "shard", "chunk")
     levels = materialize(asked.mapInArrow(answer, schema), "levels")
     drop_table(counts)
-    del asked
-    free_shuffles(spark)
     back = dealt.filter("ord = 0").unionByName(levels).repartition("chunk").sortWithinPartitions("chunk", "ord", "shard")
     out = materialize(back.mapInArrow(score, "_row long, score double"), "scores")
     drop_table(dealt)
     drop_table(levels)
-    free_shuffles(spark)
     return out

@@ -142,6 +142,31 @@ def lm_base(rows):
     return [(key, held(key), len(t := tokens(text)), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for key, text in rows]
 
 
+def lm_scores(rows, pair, word):
+    """log10 probability of each text, from quantised exact counts that are divided by their own sums."""
+    tokens = lambda t: (t or "").encode().lower().split() + [b" "]
+    held = lambda key: key is not None and zlib.crc32(str(key).encode()) % 7 == 2
+    one, two, total = Counter(), Counter(), Counter()
+    for key, text in rows:
+        if not held(key):
+            t = tokens(text)
+            one.update(t)
+            two.update(zip([b"  ", *t], t))
+    middle = lambda n: (2 ** (n.bit_length() - 1) + 2 ** n.bit_length() - 1) / 2 if n else 0
+    for (c, _), n in two.items():
+        total[c] += middle(n)
+    mass = sum(map(middle, one.values()))
+    out = []
+    for _, text in rows:
+        s, t = 0.0, tokens(text)
+        for c, w in zip([b"  ", *t], t):
+            p = middle(one[w]) / mass
+            p = pair * middle(two[c, w]) / total[c] + word * p if total[c] else (pair + word) * p
+            s += math.log10(p + (1 - pair - word) / (len(one) + 1))
+        out.append(s)
+    return out
+
+
 def top_k(rows, queries, k):
     v = {i: np.floor(256 * np.array(x, float)).astype(np.int64) for i, x in rows if x and all(y is not None and math.isfinite(y) for y in x)}
     out = []

@@ -70,14 +70,34 @@ def test_lm(spark, edge, options):
     assert all(g[7] < 0 and math.isfinite(g[7]) for g in got)
 
 
-def test_lm_routes_agree_and_empty(spark):
-    df = spark.createDataFrame(near_copies(80), "doc_id long, text string")
-    a = {r.doc_id: r.score for r in lm.score_texts(df).collect()}
-    b = {r.doc_id: r.score for r in lm.score_texts(df, broadcast_bytes=0).collect()}
-    # The filter can only see too much, so it differs where a probe hit by chance.
-    assert sum(math.isclose(a[i], b[i], rel_tol=1e-6) for i in a) > 0.6 * len(a)
-    assert all(abs(a[i] - b[i]) < 0.05 * abs(b[i]) + 0.5 for i in a)
+def test_lm_scores_are_those_of_plain_counts(spark, edge):
+    df = edge.select("doc_id", "text").unionByName(spark.createDataFrame([(k + 1000, t) for k, t in near_copies(200)], "doc_id long, text string"))
+    plain = dict(zip([k for k, _ in pairs(df)], B.lm_scores(pairs(df), lm.PAIR, lm.WORD)))
+    for sent in (lm.BROADCAST_BYTES, 0):
+        got = {r.doc_id: r.score for r in lm.score_texts(df, key_bits=96, broadcast_bytes=sent).collect()}
+        assert all(math.isclose(got[k], plain[k], rel_tol=1e-9) for k in plain)
+    # At the usual width false positives change a little.
+    got = {r.doc_id: r.score for r in lm.score_texts(df).collect()}
+    assert all(abs(got[k] - plain[k]) <= 0.02 * abs(plain[k]) + 1 for k in plain)
     assert lm.score_texts(df.limit(0)).count() == 0
+    none = lm.score_texts(df.filter(lm.held_out("doc_id")))
+    assert none.filter("score <> 0.0 or train_tokens <> 0").isEmpty()
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_lm_probabilities_add_up_to_one(spark, shards):
+    texts = [t.encode() for _, t in near_copies(300)]
+    rows = lm._count(spark.createDataFrame([(t.decode(),) for t in texts], "_text string"), shards, 128).collect()
+    model = lm.Filter(shards, {(r.ord - 1) * shards + r.shard: bytes(r.bits) for r in rows if r.bits}).ready()
+    mass, distinct = (sum(r[x] for r in rows if r.ord == 1) for x in ("mass", "entries"))
+    h, n = lm.tokens(texts)
+    words = np.append(np.unique(h), lm.word_hashes([b"never seen"]))
+    assert distinct == len(words) - 1
+    word = lm.expected(model.levels(words, 1))
+    for c in [lm.BEGIN, *words[:: max(1, len(words) // 60)], words[-1]]:
+        c = np.full(len(words), c)
+        p = 10 ** lm.log_probability(lm.expected(model.levels(lm.pairs(c, words), 2)), model.totals(c), word, mass, distinct)
+        assert abs(p.sum() - 1) < 1e-6
 
 
 def test_lm_scores_do_not_depend_on_the_route(spark, edge, monkeypatch):
