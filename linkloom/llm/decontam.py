@@ -3,13 +3,15 @@
 Texts are folded to lower-case words joined by single spaces; the automaton's patterns are runs of `k` item words
 between spaces, so a match always covers whole words. Folding keeps byte places, so hit words map back to the
 original text. The benchmark is the small side: it is read in blocks of at most `block_bytes` of text, one automaton
-each, broadcast block by block. One block is the common case; a larger benchmark adds passes in the same scan, not
-memory. Texts are never shuffled.
+each. One block is the common case, and one scan. Of a larger benchmark one block is broadcast at a time: each has a
+scan of its own, which builds its automaton once in a worker and writes what was found so far beside the texts, so
+memory stays that of one block. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, bounded_batches
+from ._common import as_bytes, bounded_batches, drop_table, fresh, materialize
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 FOLD = bytes(
@@ -108,7 +110,6 @@ def decontaminate(
         T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ]
-    find = _finder(_broadcast_blocks(items, item, item_text, block_bytes), k)
     arrow = pa.schema(
         [
             ("n_words", pa.int64()),
@@ -118,66 +119,84 @@ def decontaminate(
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                {"n_words": n, "n_hit": 0 if h is None else int(h.sum()), "items": sorted(found), "spans": [] if h is None else _spans(t, h)}
-                for t, n, h, found, _ in find(as_bytes(b.column(1)))
-            ]
-            out = pa.RecordBatch.from_pylist(rows, schema=arrow)
-            yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], names=[key, *arrow.names])
+    def finish(b: pa.RecordBatch, found: list[_Found]) -> pa.RecordBatch:
+        rows = [{"n_words": f.n, "n_hit": 0 if f.hits is None else int(f.hits.sum()), "items": f.items, "spans": [] if f.hits is None else _spans(f.folded, f.hits)} for f in found]
+        return pa.RecordBatch.from_arrays([b.column(0), *pa.RecordBatch.from_pylist(rows, schema=arrow).columns], names=[key, *arrow.names])
 
-    return bounded_batches(docs.select(key, text)).mapInArrow(run, T.StructType(fields))
+    return _scan(docs.select(key, text), text, _blocks(items, item, item_text, block_bytes), k, finish, T.StructType(fields))
 
 
 def clean_documents(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 8, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The documents without k consecutive words of an item and with fewer than two items found. Columns stay as they are."""
-    find = _finder(_broadcast_blocks(items, item, item_text, block_bytes), k)
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [not whole and len(found) < 2 for *_, found, whole in find(as_bytes(b.column(at)))]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
-
-
-def _broadcast_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> list:
-    sc = items.sparkSession.sparkContext
-    return [sc.broadcast(b) for b in _blocks(items, item, text, block_bytes)]
-
-
-def _finder(blocks: list, k: int) -> Callable[[list[bytes | None]], Iterator[tuple]]:
-    """A function that gives, for each text: its folded bytes, words, hit words (None: none), items found, and whether
-    it holds k consecutive words of an item."""
-    made: list[Automaton] = []
-
-    def find(texts: list[bytes | None]) -> Iterator[tuple]:
-        folded = [fold(t) for t in texts]
-        words = [t.split() for t in folded]
-        hits: list[np.ndarray | None] = [None] * len(texts)
-        names: list[set[str]] = [set() for _ in texts]
-        wholes = [False] * len(texts)
-        if len(blocks) == 1 and not made:
-            made.append(Automaton(blocks[0].value, k))
-        for block in blocks:
-            if made:
-                a = made[0]
-            else:
-                a = Automaton(block.value, k)
-                vars(block).pop("_value", None)  # a worker holds one block at a time
-            for i, w in enumerate(words):
-                h, found, whole = a.search(w)
-                wholes[i] = wholes[i] or whole
-                names[i].update(a.names[x] for x in found)
-                if h is not None:
-                    hits[i] = h if hits[i] is None else hits[i] | h
-        return zip(folded, map(len, words), hits, names, wholes)
-
-    return find
+    n = len(docs.columns)
+
+    def finish(b: pa.RecordBatch, found: list[_Found]) -> pa.RecordBatch:
+        keep = [not f.whole and len(f.items) < 2 for f in found]
+        return pa.RecordBatch.from_arrays(b.columns[:n], names=b.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
+
+    return _scan(docs, text, _blocks(items, item, item_text, block_bytes), k, finish, docs.schema)
+
+
+@dataclass
+class _Found:
+    """What is known of a text: its folded bytes, words, hit words (None: none), items found, and whether it holds k
+    consecutive words of an item."""
+
+    folded: bytes
+    n: int
+    hits: np.ndarray | None
+    items: list[str]
+    whole: bool
+
+
+def _scan(docs: DataFrame, text: str, blocks: Iterator[list], k: int, finish: Callable, schema: T.StructType) -> DataFrame:
+    """finish(batch, found) of every batch, after a scan for each block."""
+    sc = docs.sparkSession.sparkContext
+    n, at, own = len(docs.columns), docs.columns.index(text), fresh(docs, "_f")
+    more = T._parse_datatype_string(f"{own}hits binary, {own}items array<string>, {own}whole boolean").fields
+
+    def scan(shared, first: bool, last: bool):
+        made: list[Automaton] = []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not made:
+                    made.append(Automaton(shared.value, k))
+                a, out = made[0], []
+                before = zip(*(b.column(i).to_pylist() for i in range(n, n + 3))) if not first else ((None, [], False) for _ in range(b.num_rows))
+                for t, (bits, items, whole) in zip(as_bytes(b.column(at)), before):
+                    folded = fold(t)
+                    words = folded.split()
+                    hits, found, now = a.search(words)
+                    if bits is not None:
+                        old = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
+                        hits = old if hits is None else hits | old
+                    out.append(_Found(folded, len(words), hits, sorted({*items, *(a.names[x] for x in found)}), whole or now))
+                if last:
+                    yield finish(b, out)
+                    continue
+                state = [
+                    pa.array([None if f.hits is None else np.packbits(f.hits).tobytes() for f in out], pa.binary()),
+                    pa.array([f.items for f in out], pa.list_(pa.string())),
+                    pa.array([f.whole for f in out], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *state], names=[*b.schema.names[:n], *(f.name for f in more)])
+
+        return run
+
+    df, block, first = bounded_batches(docs), next(blocks, []), True
+    while True:
+        following = next(blocks, None)
+        shared = sc.broadcast(block)
+        if following is None:
+            return df.mapInArrow(scan(shared, first, True), schema)
+        done = materialize(df.mapInArrow(scan(shared, first, False), T.StructType([*docs.schema.fields, *more])), "scan")
+        shared.destroy()
+        if not first:
+            drop_table(df)
+        df, block, first = done, following, False
 
 
 def _spans(folded: bytes, hits: np.ndarray) -> list[dict[str, int]]:
