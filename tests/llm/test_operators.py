@@ -52,11 +52,37 @@ def test_top_k(spark, scale):
 
 
 def test_top_k_small(spark):
-    df = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (50, [2.0])], "vec_id long, embedding array<double>")
-    assert [tuple(r) for r in topk.top_k(df, df).orderBy("query_id").collect()] == [(0, 1, 50, 131072), (50, 1, 0, 131072)]
+    df = spark.createDataFrame([(0, [1.0]), (50, [2.0]), (50, [2.0]), (7, [])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df.filter("vec_id % 50 = 0"), df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 50, 131072), (0, 2, 50, 131072), (0, 3, 7, 0), (50, 1, 0, 131072), (50, 2, 7, 0)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_prunes(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    rows = [(int(i), [float(x) for x in c + 0.05 * rng.normal(size=16)]) for i, c in enumerate(centres[rng.integers(0, 40, 4000)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df.filter("vec_id % 50 = 0"), df, range_rows=64, chunk_rows=2).orderBy("query_id", "rank").collect()]
+    assert got == B.top_k(rows, [i for i, _ in rows if i % 50 == 0], 5)
+    # Which cells travel, and which blocks are scored in one range of all vectors.
+    own = topk.quantise(df, "vec_id", "embedding", 256)
+    pivots = spark.sparkContext.broadcast(topk.pivots_of(own))
+    ranges = topk._packed(topk._placed(own, pivots), 64, "ranges")
+    asked = topk._packed(topk._placed(own.filter("_id % 50 = 0"), pivots), 2, "asked")
+    n = ranges.agg(F.max("group")).first()[0] + 1
+    m = asked.agg(F.max("group")).first()[0] + 1
+    start = asked.withColumn("cell", F.floor(F.col("group") * n / m))
+    floors = topk._cells(start, ranges.withColumn("cell", F.col("group")), 5, "row long, floor binary", True)
+    cells = topk._winnable(asked.join(C.materialize(floors), "row", "left"), ranges, n).count()
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    order = np.argsort(topk.nearest(pivots.value, x), kind="stable")
+    ids, seen = np.arange(4000), []
+    topk.search_cell(ids[::50], x[::50], np.full(80, topk.NONE), order, x[order], 5, 64, seen)
+    print(f"cells that travel: {cells / (n * m):.2f}, blocks scored: {sum(seen) / (80 * 63):.2f}")
+    assert cells < 0.7 * n * m and sum(seen) < 0.35 * 80 * 63
+
+
 # ------------------------------------------------------------------ language model
 
 
