@@ -461,8 +461,8 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     members = materialize(_settled(found).withColumn("heavy", F.col("n") > HEAVY), "settled")
     found.unpersist()
     free_shuffles(docs.sparkSession)
-    leader = members.filter("probe").groupBy("bucket").agg(F.min("set").alias("leader"))
-    members = members.join(leader, "bucket")
+    leader = materialize(members.filter("probe").groupBy("bucket").agg(F.min("set").alias("leader")), "leaders")
+    members = join_one(members, leader, "bucket").filter("leader is not null")
 
     spark = docs.sparkSession
     star = members.filter("set <> leader").select("leader", "set", "heavy").groupBy("leader", "set").agg(F.bool_or("heavy").alias("heavy"))
