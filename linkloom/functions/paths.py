@@ -27,6 +27,18 @@ def first_class(value: Column) -> Column:
     return F.when(value.rlike(r"^[ \t\n\r\f\x0B]+$"), F.lit(None)).otherwise(format_attr(F.split(value, r"[ \t\n\r\f\x0B]+")[0]))
 
 
+def tag_id_class(tag: Column, value: Column) -> Column:
+    """struct(tag, id, classes): every class of a class attribute formatted, in order. The id is always null: steps of paths
+    are told apart by tag and class alone."""
+    classes = F.transform(F.filter(F.split(value, r"[ \t\n\r\f\x0B]+"), lambda c: c != ""), format_attr)
+    return F.struct(tag.alias("tag"), F.lit(None).cast("string").alias("id"), classes.alias("classes"))
+
+
+def steps_xpath(steps: Column) -> Column:
+    """The XPath of an array of tag_id_class() steps, by each one's first class."""
+    return action_of(F.transform(steps, lambda s: F.struct(s["tag"].alias("tag"), F.get(s["classes"], F.lit(0)).alias("cls"))))
+
+
 def _step(s: Column) -> Column:
     return F.concat(s["tag"], F.when(s["cls"].isNotNull(), F.concat(F.lit("[contains(@class, '"), s["cls"], F.lit("')]"))).otherwise(F.lit("")))
 

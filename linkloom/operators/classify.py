@@ -24,24 +24,30 @@ def leaf_features(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     H, I: p and br elements; J: punctuation but < > { } [ ] , over length, summed over texts. A page without
     (anchor) texts has null means.
     """
-    nodes = dom_nodes(pages, html, url)
-    text = nodes.filter(F.length("text") > 0).withColumn("xpath", action_of(F.col("path")))
+    nodes = dom_nodes(pages, html, url).withColumn("xpath", action_of(F.col("path")))
+    some, trimmed = F.length("text") > 0, F.length(F.trim("text"))
     marks = F.length("text") - F.length(F.regexp_replace("text", r"[!\"#$%&'()*+\-./:;=?@\\^_`|~]", ""))
-    punct = text.groupBy("page_url").agg(F.sum(marks / F.length("text")).alias("J"))
-    real = text.filter(F.length(F.trim("text")) > 0)
-    per = real.groupBy("page_url", "xpath").agg(F.avg(F.length(F.trim("text"))).alias("m"))
-    per = per.withColumn("anchor", F.col("xpath").rlike("/a(?:/|\\[|$)")).withColumn("form", F.col("xpath").rlike("|".join(FORMATTING)))
-    agg = per.groupBy("page_url").agg(
+    # One parse and one exchange: dealt by page, then grouped by page and path, then by page.
+    per = nodes.repartition("page_url").groupBy("page_url", "xpath").agg(
+        F.avg(F.when(some & (trimmed > 0), trimmed)).alias("m"),
+        F.sum(F.when(some, marks / F.length("text"))).alias("punct"),
+        F.count_if(F.col("tag") == "p").alias("p"),
+        F.count_if(F.col("tag") == "br").alias("br"),
+    )
+    real = F.col("m").isNotNull()
+    anchor, form = F.col("xpath").rlike("/a(?:/|\\[|$)"), F.col("xpath").rlike("|".join(FORMATTING))
+    return per.groupBy("page_url").agg(
         F.avg("m").alias("A"),
-        F.avg(F.when(F.col("anchor"), F.col("m"))).alias("B"),
-        F.count_if(~F.col("anchor")).alias("C"),
-        F.count_if("anchor").alias("D"),
+        F.avg(F.when(anchor, F.col("m"))).alias("B"),
+        F.count_if(real & ~anchor).alias("C"),
+        F.count_if(real & anchor).alias("D"),
         F.max("m").alias("E"),
-        F.count_if(F.col("form") & ~F.col("anchor")).alias("F"),
-        F.count_if(F.col("form") & F.col("anchor")).alias("G"),
+        F.count_if(real & form & ~anchor).alias("F"),
+        F.count_if(real & form & anchor).alias("G"),
+        F.sum("p").alias("H"),
+        F.sum("br").alias("I"),
+        F.sum("punct").alias("J"),
     )
-    elements = nodes.groupBy("page_url").agg(F.count_if(F.col("tag") == "p").alias("H"), F.count_if(F.col("tag") == "br").alias("I"))
-    return elements.join(agg, "page_url", "left").join(punct, "page_url", "left").select("page_url", *FEATURES)
 
 
 def decision_value(features: list[Column], weights: tuple[float, ...] = WEIGHTS, rho: float = RHO) -> Column:

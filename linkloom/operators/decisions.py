@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from linkloom.functions.paths import action_at
 from linkloom.functions.text import host, tokenize, tokenize_url
 
+from linkloom.sources.scratch import materialize
+
 from .links import eval_refined, page_links
 
 
@@ -37,15 +39,25 @@ def decide(links: DataFrame, score: str = "count") -> DataFrame:
     Links count once by address and text. score: their number ("count") or the characters of their texts ("chars").
     Actions without score go, and so do those that repeat another's addresses or a part of them.
     """
+    return _ranked(_acts(links), score)
+
+
+def _acts(links: DataFrame) -> DataFrame:
+    """page_url, xpath, n (links by address and text), distinct_chars, chars (repeats counted), hrefs, hrefs_and_texts."""
     # One exchange: what is dealt by page is dealt by any key that holds the page.
     links = links.select("page_url", "xpath", "href", "text", "ord", "n_chars").repartition("page_url")
-    once = links.groupBy("page_url", "xpath", "href", "text").agg(F.min("ord").alias("ord"), F.first("n_chars").alias("n_chars"))
-    value = F.count("*") if score == "count" else F.sum("n_chars")
-    acts = once.groupBy("page_url", "xpath").agg(
-        value.alias("score"),
+    once = links.groupBy("page_url", "xpath", "href", "text").agg(F.min("ord").alias("ord"), F.first("n_chars").alias("n_chars"), F.sum("n_chars").alias("_all"))
+    return once.groupBy("page_url", "xpath").agg(
+        F.count("*").alias("n"),
+        F.sum("n_chars").alias("distinct_chars"),
+        F.sum("_all").alias("chars"),
         F.array_sort(F.collect_set("href")).alias("hrefs"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "href", "text"))), lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"))).alias("hrefs_and_texts"),
     )
+
+
+def _ranked(acts: DataFrame, score: str) -> DataFrame:
+    acts = acts.withColumn("score", F.col("n" if score == "count" else "distinct_chars"))
     pages = acts.filter("score > 0").groupBy("page_url").agg(F.collect_list(F.struct("xpath", "hrefs", "score", "hrefs_and_texts")).alias("d"))
     kept = pages.withColumn("d", remove_subsets(F.col("d")))
     order = lambda x: F.struct((-x["score"]).alias("o"), x["xpath"].alias("xpath"), x["score"].alias("score"), x["hrefs_and_texts"].alias("hrefs_and_texts"))
@@ -57,8 +69,10 @@ def state_action(pages: DataFrame, templates: DataFrame | None = None, blacklist
     """(decisions, page_nav): the ranked decisions of each page, and page_url, total_nav_info: characters of all its
     links' texts, repeats counted. A page without text or links has none."""
     links = without_templates(page_links(pages, blacklist, html, url), templates)
-    nav = links.groupBy("page_url").agg(F.sum("n_chars").alias("total_nav_info"))
-    return decide(links), nav
+    # Both come out of one table of the pages' link texts, so pages are parsed once.
+    both = materialize(_acts(links), "actions")
+    nav = both.groupBy("page_url").agg(F.sum("chars").alias("total_nav_info"))
+    return _ranked(both, "count"), nav
 
 
 def state_action_refined(pages: DataFrame, refinements: DataFrame, templates: DataFrame | None = None, blacklist: DataFrame | None = None) -> DataFrame:

@@ -64,13 +64,14 @@ def links_with_position(links: DataFrame) -> DataFrame:
     links, m the largest f that is neither 1 nor n. A depth gets its position when f is not 1 or m and the product of
     f from there on is less than n.
     """
-    keyed = links.withColumn("_key", path_key(F.col("path")))
-    group = keyed.groupBy("page_url", "_key").agg(F.count("*").alias("_n"), F.first(F.size("path")).alias("_len"))
-    at = keyed.select("page_url", "_key", F.posexplode("path").alias("_depth", "_step"))
-    f = at.groupBy("page_url", "_key", "_depth").agg(F.count_distinct(F.col("_step.pos")).alias("_f"))
-    f = f.groupBy("page_url", "_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_depth", "_f"))), lambda x: x["_f"]).alias("_fs"))
+    # A page's links meet in one row; all that follows happens inside it.
+    row = F.struct(*(c for c in links.columns if c != "page_url"))
+    group = links.withColumn("_key", path_key(F.col("path"))).groupBy("page_url", "_key").agg(F.collect_list(row).alias("_links"))
+    depth = F.sequence(F.lit(0), F.size(F.col("_links")[0]["path"]) - 1)
+    places = lambda d: F.size(F.array_distinct(F.transform("_links", lambda x: F.get(x["path"], d)["pos"])))
+    group = group.withColumn("_fs", F.transform(depth, places)).withColumn("_n", F.size("_links"))
     most = F.array_max(F.filter("_fs", lambda x: (x != 1) & (x != F.col("_n"))))
-    products = suffix_products(F.col("_fs"))
+    group = group.withColumn("_most", most).withColumn("_products", suffix_products(F.col("_fs")))
     chosen = F.filter(
         F.transform(
             F.arrays_zip(F.col("_fs").alias("f"), F.col("_products").alias("s")),
@@ -78,8 +79,8 @@ def links_with_position(links: DataFrame) -> DataFrame:
         ),
         lambda i: i.isNotNull(),
     )
-    where = group.join(f, ["page_url", "_key"]).withColumn("_most", most).withColumn("_products", products).select("page_url", "_key", chosen.alias("positions"))
-    return keyed.join(where, ["page_url", "_key"]).withColumn("xpath_pos", xpath_at(F.col("path"), F.col("positions"))).drop("_key")
+    flat = group.withColumn("positions", chosen).select("page_url", "positions", F.inline("_links"))
+    return flat.withColumn("xpath_pos", xpath_at(F.col("path"), F.col("positions"))).select(*links.columns, "positions", "xpath_pos")
 
 
 def position_alternatives(links: DataFrame, xpath: str, clusters: int) -> DataFrame:
@@ -166,11 +167,8 @@ def probe_refinements(links: DataFrame, refinements: DataFrame, pages: DataFrame
 
 
 def contained_anchors(nodes: DataFrame) -> DataFrame:
-    """Anchors inside each element: an interval join within a page on the elements' numbers."""
-    a = nodes.filter("tag = 'a'").select("page_url", F.col("node_id").alias("anchor_id"), F.col("pre").alias("_pre"))
-    # An anchor's containers are on its own path: walking up by parent keeps the join an equi-join.
-    up = nodes.select("page_url", F.col("node_id").alias("id"), "parent_id", "pre", "post")
-    return up.join(a, "page_url").filter((F.col("_pre") > F.col("pre")) & (F.col("_pre") <= F.col("post"))).select("page_url", F.col("id").alias("node_id"), "anchor_id")
+    """Anchors inside each element: every anchor knows the elements above it, so nothing is joined."""
+    return nodes.filter("tag = 'a'").select("page_url", F.explode("up").alias("node_id"), F.col("node_id").alias("anchor_id"))
 
 
 def node_children(nodes: DataFrame) -> DataFrame:

@@ -21,7 +21,9 @@ def merge_maps(tables: list[DataFrame], on: list[str], last_wins: bool = True) -
     for i, t in enumerate(tables):
         own = t.withColumn("_p", F.lit(i))
         every = own if every is None else every.unionByName(own)
-    w = Window.partitionBy(*on).orderBy(F.desc("_p") if last_wins else F.asc("_p"))
+    # Rows of one key in one table tie; the least by hash is taken, so reruns agree.
+    rest = F.xxhash64(*(c for c in tables[0].columns if c not in on)) if set(tables[0].columns) - set(on) else F.lit(0)
+    w = Window.partitionBy(*on).orderBy(F.desc("_p") if last_wins else F.asc("_p"), rest)
     return every.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_p")
 
 
@@ -31,6 +33,15 @@ def distinct_by(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").orderBy(F.desc(order))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows numbered from 1 in the order given, without one task for all: ranges in order, each with the rows before it."""
+    own = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    part = own.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    row = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return own.join(F.broadcast(part.select("_part", before.alias("_before"))), "_part").withColumn(name, row + F.col("_before")).drop("_part", "_before")
+
+
 def random_take(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     """n rows by a seeded hash of the key, all if there are no more."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from linkloom.functions.paths import action_at, model_steps, source_path
 from linkloom.operators.decisions import decide
 from linkloom.operators.links import eval_refined, page_links, refine_accuracy
+from linkloom.operators.relational import numbered
 from linkloom.operators.similarity import structural_similarity, xpath_chars
+from linkloom.sources.scratch import materialize
 
 
 def _chars(corpus: DataFrame) -> DataFrame:
@@ -114,33 +116,40 @@ def estimate_yield(sequences: DataFrame, docs: DataFrame, n_links: DataFrame, pa
     docs: url, src_url, path, leaf. n_links: url, action, n (links of a page at an action). From the leaves at the
     sequence's end back to the entry, only pages that were sources of the step after count; a step's factor is the
     largest n of its pages at the next action, times `boost` where the place has pagination (paging: src_path); no page
-    makes it 0. The loop is as long as the longest sequence.
+    makes it 0. Ancestors are found by doubling, so the rounds grow with the logarithm of the longest sequence.
     """
     if longest is None:
         longest = sequences.agg(F.max(F.size("actions"))).first()[0] or 0
-    steps = sequences.select("seq_id", "actions", F.posexplode(model_steps(F.col("actions"))).alias("k", "step")).withColumn("len", F.size("actions"))
+    pages = docs.select("url", "src_url", "path").distinct()
+    above = pages.select(F.col("url").alias("up_url"), F.col("path").alias("up"))
+    hop = pages.join(above, (F.col("src_url") == F.col("up_url")) & (source_path(F.col("path")) == F.col("up")) & (F.size("path") > 0)).select("url", "path", "up_url", "up")
+    hop = materialize(hop, "hops")
+    reach = materialize(sequences.join(docs.filter("leaf").select("url", "path"), F.col("actions") == F.col("path")).select("seq_id", "url", "path").distinct(), "reach")
+    span = 1
+    while span <= longest:
+        further = reach.join(hop, ["url", "path"]).select("seq_id", F.col("up_url").alias("url"), F.col("up").alias("path"))
+        reach, span = materialize(reach.unionByName(further).distinct(), "reach"), 2 * span
+        if span <= longest:
+            x, y = hop.alias("x"), hop.alias("y")
+            twice = x.join(y, (F.col("x.up_url") == F.col("y.url")) & (F.col("x.up") == F.col("y.path")))
+            hop = materialize(twice.select("x.url", "x.path", "y.up_url", "y.up"), "hops")
+    met = reach.join(sequences.select("seq_id", "actions"), "seq_id").filter(F.size("path") < F.size("actions"))
+    met = met.withColumn("action", action_at(F.col("actions"), F.col("path"))).withColumn("k", F.size("path"))
+    best = met.join(n_links.select("url", "action", "n"), ["url", "action"], "left").groupBy("seq_id", "k").agg(F.max(F.coalesce("n", F.lit(0))).alias("best"))
+    steps = sequences.select("seq_id", F.size("actions").alias("len"), F.posexplode(model_steps(F.col("actions"))).alias("k", "step"))
     if paging is not None:
         steps = steps.join(paging.select(F.col("src_path").alias("step"), F.lit(boost).alias("boost")).distinct(), "step", "left")
     else:
         steps = steps.withColumn("boost", F.lit(None).cast("int"))
-    steps = steps.withColumn("boost", F.coalesce("boost", F.lit(1)))
-    at_end = steps.filter("k = len").join(docs.filter("leaf"), F.col("step") == F.col("path")).select("seq_id", "src_url")
-    parents = at_end.distinct()
-    out = steps.filter("k = len").select("seq_id", F.col("boost").cast("long").alias("yield"))
-    for back in range(1, longest + 1):
-        own = steps.filter(F.col("k") == F.col("len") - back).withColumn("action", action_at(F.col("actions"), F.col("step")))
-        pages = own.join(docs, F.col("step") == F.col("path")).join(parents.withColumnRenamed("src_url", "url"), ["seq_id", "url"], "left_semi")
-        best = pages.join(n_links, ["url", "action"], "left").groupBy("seq_id").agg(F.max(F.coalesce("n", F.lit(0))).alias("best"))
-        factor = own.join(best, "seq_id", "left").select("seq_id", (F.coalesce("best", F.lit(0)) * F.col("boost")).alias("factor"))
-        out = out.join(factor, "seq_id", "left").select("seq_id", (F.col("yield") * F.coalesce("factor", F.lit(1))).alias("yield"))
-        parents = pages.select("seq_id", "src_url").distinct().unionByName(parents.join(own.select("seq_id"), "seq_id", "left_anti"))
-    return out
+    factor = F.when(F.col("k") == F.col("len"), F.lit(1)).otherwise(F.coalesce("best", F.lit(0))) * F.coalesce("boost", F.lit(1))
+    factors = steps.join(best, ["seq_id", "k"], "left").groupBy("seq_id").agg(F.collect_list(factor.cast("long")).alias("f"))
+    return factors.select("seq_id", F.aggregate("f", F.lit(1).cast("long"), lambda a, x: a * x).alias("yield"))
 
 
 def plan_model(sequences: DataFrame, yields: DataFrame | None = None) -> DataFrame:
-    """Sequences by length, then largest yield (column n or the yields table), then actions."""
+    """Sequences with place, from 1: by length, then largest yield (column n or the yields table), then actions."""
     own = sequences if yields is None else sequences.join(yields.select("seq_id", F.col("yield").alias("n")), "seq_id", "left")
-    return own.orderBy(F.size("actions"), F.desc("n"), "actions")
+    return numbered(own, [F.size("actions").asc(), F.col("n").desc(), F.col("actions").asc()])
 
 
 def remove_pagination(sequences: DataFrame, refinements: DataFrame, paging: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from linkloom.operators.cluster import assign_online
 from linkloom.operators.components import connected_components
 from linkloom.operators.decisions import decide
 from linkloom.operators.links import page_links, refined
+from linkloom.operators.relational import numbered
 from linkloom.operators.similarity import near_duplicate_pairs, similar_pairs, xpath_chars
 from linkloom.sources.scratch import materialize
 
@@ -62,6 +63,12 @@ def seed(spark: SparkSession, url: str) -> DataFrame:
     return spark.createDataFrame([(url, [], None, None, [])], FRONTIER)
 
 
+def seeds(starts: DataFrame) -> DataFrame:
+    """Start rows of many pages (url)."""
+    none = F.lit(None).cast("string")
+    return starts.select("url", F.array().cast("array<string>").alias("path"), none.alias("src_url"), none.alias("src_text"), F.array().cast("array<bigint>").alias("seq"))
+
+
 def claimed(links: DataFrame) -> DataFrame:
     """Links of each page kept by the first decision that has them."""
     w = Window.partitionBy("src", "href").orderBy("rank", "ord")
@@ -178,7 +185,7 @@ def crawl_with_estimation(
     first) and estimates the site's model: (crawl, clusters, (sequences, refinements, pagination))."""
     run = crawl_examples(pages, start, leaves, stop, seed)
     met = materialize(run.visited.filter("leaf"), "leaves")
-    order = met.select(F.col("url").alias("id"), F.row_number().over(Window.orderBy("seq", "url")).cast("long").alias("seq"))
+    order = numbered(met.select(F.col("url").alias("id"), "seq"), [F.col("seq").asc(), F.col("id").asc()]).select("id", F.col("place").cast("long").alias("seq"))
     chars = materialize(xpath_chars(pages), "chars")
     clusters = assign_online(start.sparkSession.createDataFrame([], "id string, cluster long"), order, materialize(leaf_edges(chars, met, least), "edges"))
     corpus = run.visited.join(pages.select("url", F.col("html").alias("body")), "url", "left")

@@ -11,6 +11,7 @@ from linkloom.functions import paths as P
 from linkloom.functions import text as X
 from linkloom.operators import classify, cluster, decisions, links, rank, relational, similarity
 from linkloom.plans import model, traverse
+from linkloom.sources.scratch import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -365,12 +366,11 @@ def updated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.updated(e.filter("ts < timestamp'2024-01-15'"), e.filter("ts >= timestamp'2024-01-15'"))
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id % 20 AS g, event_type || user_id % 7 AS k, event_id % 5 AS i FROM events),
+@query("""WITH s AS (SELECT DISTINCT user_id AS g, event_type AS k, json_extract_string(props, '$.k')::INT // 10 AS i FROM events),
     n AS (SELECT g, k, count(*) AS n FROM s GROUP BY ALL)
     SELECT x.g, x.k AS small, y.k AS large FROM s x JOIN s y ON x.g = y.g AND x.i = y.i AND x.k <> y.k JOIN n ON n.g = x.g AND n.k = x.k GROUP BY x.g, x.k, y.k, n.n HAVING count(*) = n.n""")
 def remove_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    s = e.select((F.col("user_id") % 20).alias("g"), F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("k"), (F.col("event_id") % 5).alias("i"))
+    s = read(spark, sf_dir, "events").select(F.col("user_id").alias("g"), F.col("event_type").alias("k"), F.floor(F.get_json_object("props", "$.k").cast("int") / 10).alias("i"))
     return relational.subset_pairs(s, "k", "i", ("g",))
 
 
@@ -390,14 +390,13 @@ def leaf_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_id, actions: the first three actions of a user, newest first."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = read(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).filter("k <= 3")
-    return e.groupBy(F.col("user_id").alias("seq_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "event_type"))), lambda x: x["event_type"]).alias("actions"))
+    """seq_id, actions: all of a user's actions of a day, newest first. seq_id: user times 1000 and the day of the year."""
+    seq = (F.col("user_id") * 1000 + F.dayofyear("ts")).cast("long").alias("seq_id")
+    newest = F.array_sort(F.collect_list(F.struct((-F.col("event_id")).alias("k"), "event_type")))
+    return read(spark, sf_dir, "events").groupBy(seq).agg(F.transform(newest, lambda x: x["event_type"]).alias("actions"))
 
 
-_SEQ = """q AS (SELECT user_id AS seq_id, list(event_type ORDER BY event_id DESC) AS actions FROM (
-    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 3 GROUP BY user_id)"""
+_SEQ = "q AS (SELECT (user_id * 1000 + dayofyear(ts))::BIGINT AS seq_id, list(event_type ORDER BY event_id DESC) AS actions FROM events GROUP BY 1)"
 
 
 @query(f"""WITH {_SEQ} SELECT seq_id, k::INTEGER AS k, array_to_string(actions[len(actions) - k + 1 :], '/') AS step, actions[len(actions) - k] AS next
@@ -450,26 +449,18 @@ def pagination_in_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.pagination_in_corpus(_pairs(spark, sf_dir)).select(F.array_join("src_path", "/").alias("src_path"), F.array_join("actions", ",").alias("actions"))
 
 
-@query(f"""WITH {_SEQ}, n AS (SELECT event_type AS action, user_id AS u, count(*) AS n FROM events GROUP BY ALL)
-    SELECT seq_id, 10 * (SELECT max(n) FROM n WHERE u = seq_id AND action = actions[3]) * (SELECT max(n) FROM n WHERE u = seq_id AND action = actions[2]) * (SELECT max(n) FROM n WHERE u = seq_id AND action = actions[1]) AS yield
-    FROM q WHERE len(actions) = 3""")
+@query(f"""WITH {_SEQ}, n AS (SELECT event_type AS action, user_id AS u, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT seq_id, unnest(actions) AS action FROM q)
+    SELECT seq_id, 10 * list_reduce(list(n), lambda x, y: x * y) AS yield FROM s JOIN n ON u = seq_id // 1000 AND n.action = s.action GROUP BY seq_id""")
 def estimate_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sequences(spark, sf_dir).filter(F.size("actions") == 3)
-    page = lambda k: F.concat(F.col("seq_id").cast("string"), F.lit(f"/{k}"))
-    docs = None
-    for k in range(4):
-        own = s.select(
-            page(k).alias("url"),
-            (page(k - 1) if k else F.lit(None).cast("string")).alias("src_url"),
-            F.slice("actions", 3 - k + 1, k).alias("path"),
-            F.lit(k == 3).alias("leaf"),
-        )
-        docs = own if docs is None else docs.unionByName(own)
-    n = read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
-    n = n.withColumn("url", F.explode(F.array(*(F.concat(F.col("user_id").cast("string"), F.lit(f"/{k}")) for k in range(4))))).select("url", "action", "n")
-    paging = spark.createDataFrame([([],)], "src_path array<string>")
-    docs = docs.withColumn("_s", F.split("url", "/")[0].cast("long"))
-    return _yield_by_sequence(s, docs, n, paging)
+    s = materialize(_sequences(spark, sf_dir), "sequences")
+    page = lambda k: F.concat(F.col("seq_id").cast("string"), F.lit("/"), k.cast("string"))
+    n = F.size("actions")
+    docs = s.select("seq_id", "actions", F.explode(F.sequence(F.lit(0), n)).alias("k")).select(
+        page(F.col("k")).alias("url"), F.when(F.col("k") > 0, page(F.col("k") - 1)).alias("src_url"), F.slice("actions", n - F.col("k") + 1, F.col("k")).alias("path"), (F.col("k") == n).alias("leaf"), F.col("seq_id").alias("_s")
+    )
+    count = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("_u"), F.col("event_type").alias("action")).agg(F.count("*").alias("n"))
+    at = docs.select("url", F.floor(F.col("_s") / 1000).alias("_u")).join(count, "_u").select("url", "action", "n")
+    return _yield_by_sequence(s, docs, at, spark.createDataFrame([([],)], "src_path array<string>"))
 
 
 def _yield_by_sequence(s: DataFrame, docs: DataFrame, n: DataFrame, paging: DataFrame) -> DataFrame:
@@ -485,11 +476,8 @@ def _yield_by_sequence(s: DataFrame, docs: DataFrame, n: DataFrame, paging: Data
 
 @query(f"WITH {_SEQ} SELECT seq_id, array_to_string(actions, '/') AS actions, row_number() OVER (ORDER BY len(actions), seq_id DESC)::INTEGER AS place FROM q")
 def plan_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sequences(spark, sf_dir).withColumn("n", F.col("seq_id"))
-    plan = model.plan_model(s)
-    # A plan is short; its places are numbered for the comparison.
-    w = Window.orderBy(F.size("actions"), F.desc("n"))
-    return plan.select("seq_id", F.array_join("actions", "/").alias("actions"), F.row_number().over(w).alias("place"))
+    plan = model.plan_model(_sequences(spark, sf_dir).withColumn("n", F.col("seq_id")))
+    return plan.select("seq_id", F.array_join("actions", "/").alias("actions"), F.col("place").cast("int").alias("place"))
 
 
 # ------------------------------------------------------------------ traversal: region -> nation -> customer -> order
@@ -504,22 +492,21 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(link(orders, c(F.lit("c"), "o_custkey"), c(F.lit("o"), "o_orderkey"), "//order", F.col("o_orderkey")))
 
 
-_REACH = """SELECT 'r0' AS url, 0 AS depth UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation WHERE n_regionkey = 0
-    UNION ALL SELECT 'c' || c_custkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0
-    UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0"""
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.seeds(read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("url")))
 
 
-@query(_REACH)
+@query("""SELECT 'r' || r_regionkey AS url, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation
+    UNION ALL SELECT 'c' || c_custkey, 2 FROM customer UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders""")
 def bfs_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = traverse.crawl(_graph(spark, sf_dir), traverse.seed(spark, "r0"), per_decision=None)
+    run = traverse.crawl(_graph(spark, sf_dir), _starts(spark, sf_dir), per_decision=None)
     return run.visited.select("url", F.size("path").alias("depth"))
 
 
-@query("""SELECT 'r0' AS url, false AS leaf UNION ALL SELECT 'n' || n_nationkey, false FROM nation WHERE n_regionkey = 0
-    UNION ALL (SELECT 'c' || c_custkey, true FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 ORDER BY n_nationkey, c_custkey
-        LIMIT greatest(0, 100 - (SELECT 1 + count(*) FROM nation WHERE n_regionkey = 0)))""")
+@query("""SELECT 'r' || r_regionkey AS url, false AS leaf FROM region UNION ALL SELECT 'n' || n_nationkey, false FROM nation
+    UNION ALL (SELECT 'c' || c_custkey, true FROM customer ORDER BY c_nationkey, c_custkey LIMIT greatest(0, 100 - (SELECT count(*) FROM region) - (SELECT count(*) FROM nation)))""")
 def replay_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = traverse.replay(_graph(spark, sf_dir), traverse.seed(spark, "r0"), ["//customer", "//nation"], budget=100)
+    run = traverse.replay(_graph(spark, sf_dir), _starts(spark, sf_dir), ["//customer", "//nation"], budget=100)
     return run.visited.select("url", "leaf")
 
 
@@ -559,9 +546,9 @@ def sample_proportional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.sample_proportional(p, "p_size", 0.37, "p_partkey").select("p_partkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def anti_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -622,3 +609,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("a"), (1000000 + F.col("event_id")).alias("b"))
     return connected_components(e)
+
+
+from linkloom import operator_queries  # noqa: E402, F401  (adds its queries)

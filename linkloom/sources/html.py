@@ -231,6 +231,7 @@ NODE = T.StructType(
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
         T.StructField("text", T.StringType()),
         T.StructField("path", T.ArrayType(STEP)),
+        T.StructField("up", T.ArrayType(T.IntegerType())),
     ]
 )
 
@@ -268,7 +269,8 @@ def links_of(source: str | None, url: str | None) -> list[dict]:
 
 
 def nodes_of(source: str | None) -> list[dict]:
-    """Elements in document order, each with its own text; pre and post number the element intervals."""
+    """Elements in document order, each with its own text; pre and post number the element intervals, up the elements
+    above, from the root down."""
     if source is None:
         return []
     root = parse(source)
@@ -285,7 +287,7 @@ def nodes_of(source: str | None) -> list[dict]:
             me = ids[id(n)] = len(rows)
             own = "".join(c for c in n.children if isinstance(c, str))
             rows.append(
-                {"node_id": me, "parent_id": p, "ord": o, "pre": me, "post": me, "tag": n.tag, "class": n.attrs.get("class"), "cls": n.cls, "pos": n.pos, "attrs": list(n.attrs.items()), "text": own, "path": path_of(n)}
+                {"node_id": me, "parent_id": p, "ord": o, "pre": me, "post": me, "tag": n.tag, "class": n.attrs.get("class"), "cls": n.cls, "pos": n.pos, "attrs": list(n.attrs.items()), "text": own, "path": path_of(n), "up": [] if p is None else [*rows[p]["up"], p]}
             )
             stack.append((n, p, o, True))
             kids = [c for c in n.children if isinstance(c, Node)]

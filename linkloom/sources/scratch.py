@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/linkloom/{name}"
+    atexit.register(_quietly, spark, path)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None:
@@ -42,7 +49,7 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     goes when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     before = spark.conf.get(CLEANUP, None)
     try:
         spark.conf.set(CLEANUP, "true")
@@ -51,7 +58,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    atexit.register(_quietly, spark, path)
     return out
 
 
