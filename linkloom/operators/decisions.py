@@ -33,26 +33,28 @@ def remove_subsets(decisions: Column) -> Column:
     return F.filter(one, lambda a: ~F.exists(decisions, lambda b: inside(a, b)))
 
 
-def decide(links: DataFrame, score: str = "count") -> DataFrame:
+def decide(links: DataFrame, score: str = "count", steps: bool = False) -> DataFrame:
     """page_url, xpath, score, hrefs_and_texts and rank (from 1) from a link table.
 
     Links count once by address and text. score: their number ("count") or the characters of their texts ("chars").
-    Actions without score go, and so do those that repeat another's addresses or a part of them.
+    Actions without score go, and so do those that repeat another's addresses or a part of them. steps: links carry their
+    path as well.
     """
-    return _ranked(_acts(links), score)
+    return _ranked(_acts(links, steps), score)
 
 
-def _acts(links: DataFrame) -> DataFrame:
+def _acts(links: DataFrame, steps: bool = False) -> DataFrame:
     """page_url, xpath, n (links by address and text), distinct_chars, chars (repeats counted), hrefs, hrefs_and_texts."""
     # One exchange: what is dealt by page is dealt by any key that holds the page.
-    links = links.select("page_url", "xpath", "href", "text", "ord", "n_chars").repartition("page_url")
-    once = links.groupBy("page_url", "xpath", "href", "text").agg(F.min("ord").alias("ord"), F.first("n_chars").alias("n_chars"), F.sum("n_chars").alias("_all"))
+    more = ["path"] if steps else []
+    links = links.select("page_url", "xpath", "href", "text", "ord", "n_chars", *more).repartition("page_url")
+    once = links.groupBy("page_url", "xpath", "href", "text").agg(F.min("ord").alias("ord"), F.first("n_chars").alias("n_chars"), F.sum("n_chars").alias("_all"), *(F.min_by(c, "ord").alias(c) for c in more))
     return once.groupBy("page_url", "xpath").agg(
         F.count("*").alias("n"),
         F.sum("n_chars").alias("distinct_chars"),
         F.sum("_all").alias("chars"),
         F.array_sort(F.collect_set("href")).alias("hrefs"),
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "href", "text"))), lambda x: F.struct(x["href"].alias("href"), x["text"].alias("text"))).alias("hrefs_and_texts"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "href", "text", *more))), lambda x: F.struct(*(x[c].alias(c) for c in ("href", "text", *more)))).alias("hrefs_and_texts"),
     )
 
 

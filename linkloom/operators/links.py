@@ -95,7 +95,8 @@ def position_alternatives(links: DataFrame, xpath: str, clusters: int) -> DataFr
 REFINEMENT = "array<struct<p:int,ns:array<int>>>"
 
 
-def _at(path: Column, pair: Column) -> Column:
+def matches(path: Column, pair: Column) -> Column:
+    """Whether a path's step at a pair's depth has one of its positions."""
     return F.coalesce(F.array_contains(pair["ns"], F.get(path, pair["p"])["pos"]), F.lit(False))
 
 
@@ -103,8 +104,8 @@ def refined(path: Column, only: Column, avoid: Column, strict: bool = False) ->
     """Whether a path passes a refinement: any pair of `only` matches and any pair of `avoid` does not. An empty or
     null list restricts nothing. strict: all pairs instead of any."""
     some = F.forall if strict else F.exists
-    ok_only = F.coalesce(F.size(only) <= 0, F.lit(True)) | some(only, lambda r: _at(path, r))
-    ok_avoid = F.coalesce(F.size(avoid) <= 0, F.lit(True)) | some(avoid, lambda r: ~_at(path, r))
+    ok_only = F.coalesce(F.size(only) <= 0, F.lit(True)) | some(only, lambda r: matches(path, r))
+    ok_avoid = F.coalesce(F.size(avoid) <= 0, F.lit(True)) | some(avoid, lambda r: ~matches(path, r))
     return ok_only & ok_avoid
 
 
@@ -123,7 +124,7 @@ def refinement_candidates(links: DataFrame, refinements: DataFrame) -> DataFrame
     """For every avoid pair, the links that it matches: page_url, xpath, pair, href, ord."""
     on = [c for c in ("page_url", "xpath") if c in refinements.columns]
     pair = refinements.select(*on, F.explode("avoid").alias("pair"))
-    return links.join(pair, on).filter(_at(F.col("path"), F.col("pair"))).select("page_url", "xpath", "pair", "href", "ord")
+    return links.join(pair, on).filter(matches(F.col("path"), F.col("pair"))).select("page_url", "xpath", "pair", "href", "ord")
 
 
 def refine_accuracy(links: DataFrame, labels: DataFrame, by: tuple[str, ...] = ("page_url", "xpath")) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.paths import action_at, model_steps, source_path
 from linkloom.operators.decisions import decide
-from linkloom.operators.links import eval_refined, page_links, refine_accuracy
+from linkloom.operators.links import REFINEMENT, eval_refined, matches, page_links, refine_accuracy
 from linkloom.operators.relational import numbered
 from linkloom.operators.similarity import structural_similarity, xpath_chars
 from linkloom.sources.scratch import materialize
@@ -187,6 +187,30 @@ def fix_restrictions(refinements: DataFrame, probes: DataFrame) -> DataFrame:
     return refinements.join(best, ["seq_id", "src_path", "action"], "left").withColumn("avoid", F.coalesce("_avoid", "avoid")).drop("_avoid")
 
 
+def probe_restrictions(corpus: DataFrame, sequences: DataFrame, refinements: DataFrame, sample: int = 10, seed: int = 1) -> DataFrame:
+    """seq_id, src_path, action, avoid as each source page of the corpus would have it: an avoid pair goes where one of up
+    to `sample` links that it shuts out leads to a page that goes on (shows the sequence's next action, or is a leaf at
+    its end). Links whose page the corpus has not prove nothing."""
+    keys = ["seq_id", "src_path", "action", "page_url"]
+    ref = refinements.filter(F.size("avoid") > 0).select("seq_id", "src_path", "action", "avoid").join(sequences.select("seq_id", "actions"), "seq_id")
+    sources = corpus.join(ref.select(F.col("src_path").alias("path")).distinct(), "path", "left_semi")
+    at = sources.select(F.col("path").alias("src_path"), F.col("url").alias("page_url")).join(ref, "src_path")
+    pair = at.select(*keys, "actions", F.explode("avoid").alias("pair")).withColumn("_pair", F.to_json("pair"))
+    own = page_links(sources.select("url", F.col("body").alias("html"))).select("page_url", F.col("xpath").alias("action"), "path", "href")
+    shut = own.join(pair, ["page_url", "action"]).filter(matches(F.col("path"), F.col("pair")))
+    w = Window.partitionBy(*keys, "_pair").orderBy(F.xxhash64("href", F.lit(seed)), "href")
+    few = shut.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample)
+    few = few.withColumn("next", action_at(F.col("actions"), F.concat(F.array("action"), "src_path")))
+    shown = shows_action(corpus).select(F.col("url").alias("href"), F.col("xpath").alias("next"), F.lit(True).alias("_shown")).distinct()
+    leaf = corpus.groupBy(F.col("url").alias("href")).agg(F.bool_or("leaf").alias("_leaf"))
+    judged = few.join(shown, ["href", "next"], "left").join(leaf, "href", "left")
+    good = F.when(F.col("next").isNull(), F.coalesce("_leaf", F.lit(False))).otherwise(F.coalesce("_shown", F.lit(False)))
+    bad = judged.filter(good).select(*keys, "_pair").distinct()
+    kept = pair.join(bad, [*keys, "_pair"], "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list("pair")).alias("avoid"))
+    none = F.array().cast(REFINEMENT)
+    return at.select(*keys).distinct().join(kept, keys, "left").select("seq_id", "src_path", "action", F.coalesce("avoid", none).alias("avoid"))
+
+
 def like_most(pages: DataFrame, cluster: DataFrame, sims: DataFrame, least: float = 0.8) -> DataFrame:
     """url, leaf: like at least half of a cluster's members. sims: a (page), b (member), sim."""
     n = cluster.count()

@@ -53,10 +53,10 @@ class Crawl:
 
 
 def link_table(pages: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
-    """src, rank, ord, xpath, href, text of a page store (url, html)."""
-    d = decide(page_links(pages, blacklist))
+    """src, rank, ord, xpath, href, text and steps (the link's path) of a page store (url, html)."""
+    d = decide(page_links(pages, blacklist), steps=True)
     flat = d.select(F.col("page_url").alias("src"), "rank", "xpath", F.posexplode("hrefs_and_texts").alias("ord", "l"))
-    return flat.select("src", "rank", "ord", "xpath", F.col("l.href").alias("href"), F.col("l.text").alias("text"))
+    return flat.select("src", "rank", "ord", "xpath", F.col("l.href").alias("href"), F.col("l.text").alias("text"), F.col("l.path").alias("steps"))
 
 
 def seed(spark: SparkSession, url: str) -> DataFrame:
@@ -252,15 +252,24 @@ def replay(
     return Crawl(seen, model, frontier, counters)
 
 
-def execute_plan(links: DataFrame, start: DataFrame, plan: list[list[str]], paging: DataFrame | None = None, budget: int | None = None) -> DataFrame:
+def execute_plan(
+    links: DataFrame,
+    start: DataFrame,
+    plan: list[list[str]],
+    paging: DataFrame | None = None,
+    budget: int | None = None,
+    refinements: list[DataFrame] | None = None,
+    earlier: DataFrame | None = None,
+) -> DataFrame:
     """Runs the sequences in order with one shared budget; url, seq_no of the pages stored. A URL belongs to the first
-    sequence that stored it."""
+    sequence that stored it. refinements: of each sequence (src_path, action, only, avoid). earlier: url of pages stored
+    before this run, which are not visited again."""
     stored: DataFrame | None = None
     left = budget
     for i, actions in enumerate(plan):
         if left is not None and left <= 0:
             break
-        run = replay(links, start, actions, paging=paging, budget=left)
+        run = replay(links, start, actions, refinements[i] if refinements else None, paging, left, earlier)
         left = None if left is None else left - run.counters["visited"]
         own = run.visited.filter("leaf").select("url", F.lit(i).alias("seq_no"))
         stored = own if stored is None else stored.unionByName(own)

@@ -26,7 +26,7 @@ SCHEMAS = {
     "model_paths": _schema(path=_PATH, n=_L),
     "model_actions": _schema(seq_id=_L, actions=_PATH),
     "model_refinements": _schema(seq_id=_L, src_path=_PATH, action=_S, only=_PAIRS, avoid=_PAIRS),
-    "paging": _schema(src_path=_PATH, paging_action=_S, sim=_D),
+    "paging": _schema(src_path=_PATH, paging_action=_S, sim=_D, only=_PAIRS, avoid=_PAIRS),
     "leaf_clusters": _schema(cluster=_S, id=_S),
     "labels": _schema(url=_S, leaf=_B),
 }
