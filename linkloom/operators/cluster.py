@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkloom.sources.scratch import materialize
 
 from .components import connected_components
+from .similarity import near_duplicate_sets
 
 
 def cluster(points: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
@@ -16,6 +17,16 @@ def cluster(points: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     return points.select(F.col(key).alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
+def near_duplicate_clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """id, cluster (smallest member) of documents linked by near duplicates; works on sets, so copies cost a row each."""
+    names, _, links = near_duplicate_sets(docs, key=key, text=text, **options)
+    sets = materialize(cluster(names, links, "set"), "clusters").withColumnRenamed("id", "set")
+    placed = materialize(names.select("doc", "set").join(sets, "set").select("doc", "cluster"), "placed")
+    least = placed.groupBy("cluster").agg(F.min("doc").alias("_least"))
+    found = placed.join(least, "cluster").groupBy(F.col("doc").alias("id")).agg(F.min("_least").alias("_least"))
+    return docs.select(F.col(key).alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("_least", "id").alias("cluster"))
+
+
 def cluster_n_iters(points: DataFrame, edges: DataFrame, iters: int, key: str = "id") -> DataFrame:
     """At most `iters` passes; in each every point takes the smallest cluster among its neighbours' and its own."""
     e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

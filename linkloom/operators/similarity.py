@@ -25,55 +25,70 @@ def shingle_counts(docs: DataFrame, key: str, text: str, k: int = 4) -> DataFram
     return docs.select(key, F.size(shingles(F.col(text), k)).cast("long").alias("n_shingles"))
 
 
+def _hashed(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """doc, h (sorted hashes of its shingles) and set (a 128-bit name of those); documents without shingles left out."""
+    h = F.array_sort(F.array_distinct(F.transform(shingles(F.col(text), k), lambda g: F.xxhash64(g))))
+    own = docs.select(F.col(key).alias("doc"), h.alias("h")).filter(F.size("h") > 0)
+    return own.withColumn("set", F.unhex(F.md5(F.array_join(F.transform("h", lambda x: x.cast("string")), ",").cast("binary"))))
+
+
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows set, size, gram (hashed): the rarest grams of each set, one of which any similar set shares."""
-    flat = sets.select("set", F.size("s").alias("size"), F.explode(F.array_distinct(F.transform("s", lambda g: F.xxhash64(g)))).alias("gram"))
-    df = flat.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = flat.join(df, "gram").groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    """Rows set, size, gram: the rarest grams of each set, one of which any similar set shares."""
+    flat = sets.select("set", F.size("h").alias("size"), F.explode("h").alias("gram"))
+    # Most grams occur once; only the others have to be told.
+    df = flat.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = flat.join(df, "gram", "left").groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram"))).alias("g"))
     keep = F.size("g") - F.ceil(F.col("size") * num / F.lit(float(den)) - 1e-9).cast("int") + 1
-    return ranked.filter(keep > 0).select("set", "size", F.explode(F.slice("g", F.lit(1), keep)).alias("x")).select("set", "size", F.col("x.gram").alias("gram"))
+    few = ranked.filter(keep > 0).select("set", "size", F.explode(F.slice("g", F.lit(1), keep)).alias("x"))
+    return few.filter("x.df > 1").select("set", "size", F.col("x.gram").alias("gram"))
 
 
-def near_duplicate_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 9, den: int = 10, right_key: str | None = None, right_text: str | None = None) -> DataFrame:
-    """a, b, inter, size_a, size_b of documents whose shingle sets are alike by num/den or more (exact whole numbers).
+def near_duplicate_sets(
+    left: DataFrame, right: DataFrame | None = None, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 9, den: int = 10, right_key: str | None = None, right_text: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(names, names of right, links): doc and set of every document with shingles; a < b, inter, na, nb of different
+    sets that are alike by num/den or more (exact whole numbers; shingles are compared by 64-bit hashes).
 
-    Self-join: a < b. Only rare prefixes of the sets are joined, so frequent shingles make no pairs; candidates are
-    verified on whole sets. Documents without shingles match nothing. Equal sets are joined once and then expanded.
+    Texts are read once. Only rare prefixes of the sets are joined, so frequent shingles make no pairs; candidates are
+    verified on whole sets. Equal sets are one set, so copies make no links.
     """
-    own = left.select(F.col(key).alias("doc"), shingles(F.col(text), k).alias("s")).filter(F.size("s") > 0)
-    if right is None:
-        other = None
-    else:
-        other = right.select(F.col(right_key or key).alias("doc"), shingles(F.col(right_text or text), k).alias("s")).filter(F.size("s") > 0)
-    # A set's name is a hash of its sorted members; its members travel once, and documents only with the name.
-    set_id = lambda df: df.withColumn("set", F.unhex(F.sha2(F.array_join(F.array_sort("s"), "\n"), 256)))
-    own = set_id(own)
-    sets = own.groupBy("set").agg(F.first("s").alias("s"))
-    if other is not None:
-        other = set_id(other)
-        sets = sets.unionByName(other.groupBy("set").agg(F.first("s").alias("s"))).groupBy("set").agg(F.first("s").alias("s"))
-    sets = materialize(sets, "shingles")
+    own = materialize(_hashed(left, key, text, k), "shingles")
+    other = own if right is None else materialize(_hashed(right, right_key or key, right_text or text, k), "shingles")
+    every = own.select("set", "h") if right is None else own.select("set", "h").unionByName(other.select("set", "h"))
+    sets = materialize(every.groupBy("set").agg(F.first("h").alias("h")), "sets")
     pre = materialize(_prefixes(sets, num, den), "prefixes")
     x, y = pre.alias("x"), pre.alias("y")
     near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
     cand = x.join(y, near).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    full = cand.join(sets.select(F.col("set").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("set").alias("b"), F.col("s").alias("sb")), "b")
-    full = full.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), F.size("sa").alias("na"), F.size("sb").alias("nb")).filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))
-    same = sets.select(F.col("set").alias("a"), F.col("set").alias("b"), F.size("s").alias("inter"), F.size("s").alias("na"), F.size("s").alias("nb"))
-    both = full.unionByName(full.select(F.col("b").alias("a"), F.col("a").alias("b"), "inter", F.col("nb").alias("na"), F.col("na").alias("nb"))).unionByName(same)
-    own = materialize(own.select("doc", "set"), "names")
-    docs_b = (own if other is None else other).select(F.col("doc").alias("doc_b"), F.col("set").alias("b"))
-    out = both.join(own.select(F.col("doc").alias("doc_a"), F.col("set").alias("a")), "a").join(docs_b, "b")
-    if other is None:
+    full = cand.join(sets.select(F.col("set").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("set").alias("b"), F.col("h").alias("hb")), "b")
+    full = full.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("inter"), F.size("ha").alias("na"), F.size("hb").alias("nb"))
+    links = full.filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))
+    return own.select("doc", "set", F.size("h").alias("n")), other.select("doc", "set", F.size("h").alias("n")), materialize(links, "links")
+
+
+def near_duplicate_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 9, den: int = 10, right_key: str | None = None, right_text: str | None = None) -> DataFrame:
+    """a, b, inter, size_a, size_b of documents whose shingle sets are alike by num/den or more; without `right`, a < b.
+
+    All pairs, those of copies too: n copies are n * n / 2 rows. Where membership will do, use near_duplicate_sets().
+    """
+    own, other, links = near_duplicate_sets(left, right, key, text, k, num, den, right_key, right_text)
+    back = links.select(F.col("b").alias("a"), F.col("a").alias("b"), "inter", F.col("nb").alias("na"), F.col("na").alias("nb"))
+    a, b = own.select(F.col("doc").alias("doc_a"), F.col("set").alias("a"), "n"), other.select(F.col("doc").alias("doc_b"), F.col("set").alias("b"))
+    same = a.join(b, F.col("a") == F.col("b")).select("doc_a", "doc_b", F.col("n").alias("inter"), F.col("n").alias("na"), F.col("n").alias("nb"))
+    out = links.unionByName(back).join(a.drop("n"), "a").join(b, "b").select("doc_a", "doc_b", "inter", "na", "nb").unionByName(same)
+    if right is None:
         out = out.filter("doc_a < doc_b")
     c = lambda n: F.col(n).cast("long")
     return out.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), c("inter").alias("inter"), c("na").alias("size_a"), c("nb").alias("size_b"))
 
 
 def seen(docs: DataFrame, corpus: DataFrame, key: str = "doc_id", text: str = "text", corpus_key: str = "item_id", corpus_text: str = "text") -> DataFrame:
-    """Documents that are near duplicates of any in the corpus."""
-    pairs = near_duplicate_pairs(docs, corpus, key, text, right_key=corpus_key, right_text=corpus_text)
-    return docs.join(pairs.select(F.col("a").alias(key)).distinct(), key, "left_semi")
+    """Documents that are near duplicates of any in the corpus; no pairs of documents are made."""
+    own, other, links = near_duplicate_sets(docs, corpus, key, text, right_key=corpus_key, right_text=corpus_text)
+    known = other.select("set").distinct()
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hit = both.join(known.withColumnRenamed("set", "b"), "b").select(F.col("a").alias("set")).unionByName(known).distinct()
+    return docs.join(own.join(hit, "set", "left_semi").select(F.col("doc").alias(key)).distinct(), key, "left_semi")
 
 
 # ---------------------------------------------------------------- signatures: tables (page, xpath, n)

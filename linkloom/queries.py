@@ -202,8 +202,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.o)
     SELECT doc_id AS id, min(o) AS cluster FROM r GROUP BY doc_id""")
 def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return cluster.cluster(docs, similarity.near_duplicate_pairs(docs).select("a", "b"), "doc_id")
+    return cluster.near_duplicate_clusters(read(spark, sf_dir, "documents"))
 
 
 @query()
@@ -222,6 +221,18 @@ def seen_against_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.seen(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id")
 
 
+@query("""WITH t AS (SELECT CASE WHEN source < 'src14' THEN 'd' ELSE 'b' END AS k, doc_id AS id, text FROM documents),
+    w AS (SELECT k, id, string_split(""" + _PLAIN + """, ' ') AS w FROM t), g AS MATERIALIZED (
+    SELECT DISTINCT k, id, array_to_string(w[i : i + 3], ' ') AS s FROM (SELECT k, id, w, unnest(range(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 4)),
+    n AS (SELECT k, id, count(*) AS n FROM g GROUP BY k, id)
+    SELECT DISTINCT x.id AS doc_id FROM (SELECT x.id, y.id AS b, count(*) AS i FROM g x JOIN g y ON x.s = y.s AND x.k = 'd' AND y.k = 'b' GROUP BY ALL) x
+    JOIN n na ON na.k = 'd' AND na.id = x.id JOIN n nb ON nb.k = 'b' AND nb.id = x.b WHERE 10 * i >= 9 * (na.n + nb.n - i)""")
+def seen_in_other_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    first = F.coalesce(F.col("source") < "src14", F.lit(False))
+    return similarity.seen(d.filter(first), d.filter(~first), corpus_key="doc_id").select("doc_id")
+
+
 # ------------------------------------------------------------------ signatures and ranks: events stand in for links
 # user_id is a page, event_type an action, props an address, value a number of characters.
 
