@@ -205,7 +205,9 @@ def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.near_duplicate_clusters(read(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT doc_id, doc_id FROM documents),
+    l AS MATERIALIZED (SELECT a, min(b) AS c FROM e GROUP BY a)
+    SELECT e.a AS id, min(l.c) AS cluster FROM e JOIN l ON l.a = e.b GROUP BY e.a""")
 def near_dup_clusters_2_iters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return cluster.cluster_n_iters(docs, similarity.near_duplicate_pairs(docs).select("a", "b"), 2, "doc_id")
