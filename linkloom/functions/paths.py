@@ -39,6 +39,22 @@ def steps_xpath(steps: Column) -> Column:
     return action_of(F.transform(steps, lambda s: F.struct(s["tag"].alias("tag"), F.get(s["classes"], F.lit(0)).alias("cls"))))
 
 
+def step_xpath(tag: Column, classes: Column, position: Column) -> Column:
+    """The older form of a step: its tag, the first of its classes and its position, as far as they are there.
+
+    A null or empty array of classes, and a null position, add nothing; a null tag gives null.
+    """
+    first = F.when(F.size(classes) > 0, F.get(classes, F.lit(0)))
+    held = F.when(first.isNotNull(), F.concat(F.lit("[contains(@class,'"), first, F.lit("')]")))
+    return F.concat(tag, F.coalesce(held, F.lit("")), F.coalesce(F.concat(F.lit("["), position.cast("string"), F.lit("]")), F.lit("")))
+
+
+def node_xpath(path: Column) -> Column:
+    """The older XPath of a path: every step with its class and its position."""
+    classes = lambda s: F.when(s["cls"].isNotNull(), F.array(s["cls"]))
+    return F.concat(F.lit("//"), F.array_join(F.transform(path, lambda s: step_xpath(s["tag"], classes(s), s["pos"])), "/"))
+
+
 def _step(s: Column) -> Column:
     return F.concat(s["tag"], F.when(s["cls"].isNotNull(), F.concat(F.lit("[contains(@class, '"), s["cls"], F.lit("')]"))).otherwise(F.lit("")))
 

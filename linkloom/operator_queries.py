@@ -221,6 +221,15 @@ def steps_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), P.steps_xpath(steps).alias("xpath"))
 
 
+@query("""SELECT n_nationkey AS k, '//html/body[contains(@class,''r' || n_regionkey || ''')][' || n_nationkey % 3 || ']/a'
+    || CASE WHEN n_nationkey % 2 = 0 THEN '[' || n_nationkey || ']' ELSE '' END AS xpath FROM nation""")
+def node_xpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, none = F.col("n_nationkey").cast("int"), F.lit(None)
+    step = lambda tag, cls, pos: F.struct(F.lit(tag).alias("tag"), cls.cast("string").alias("cls"), pos.cast("int").alias("pos"))
+    path = F.array(step("html", none, none), step("body", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), n % 3), step("a", none, F.when(n % 2 == 0, n)))
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), P.node_xpath(path).alias("xpath"))
+
+
 @query(f"WITH {_A} SELECT url AS page_url, '{_ACTION}' AS xpath, string_agg(site || raw, ' ' ORDER BY ord) AS hrefs, string_agg(text, ' ' ORDER BY ord) AS texts FROM anchors GROUP BY url")
 def action_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = links.links_by_action(links.page_links(read(spark, sf_dir, "pages")))

@@ -115,6 +115,15 @@ def test_paths(spark):
     assert row.at == [2, 0] and row.m == 2 and row.sp == [4, 2, 2]
 
 
+def test_older_steps(spark):
+    rows = [("a", ["x", "y"], 2, "a[contains(@class,'x')][2]"), ("a", ["x"], None, "a[contains(@class,'x')]"), ("a", [], 0, "a[0]"), ("a", None, None, "a"), ("a", [None, "y"], None, "a"), (None, ["x"], 1, None)]
+    df = spark.createDataFrame(rows, "tag string, classes array<string>, pos int, want string")
+    for r in df.select("want", P.step_xpath(F.col("tag"), F.col("classes"), F.col("pos")).alias("got")).collect():
+        assert r.got == r.want
+    one = spark.createDataFrame([([("html", None, 0), ("body", "hello", 1), ("a", None, None)],), ([],), (None,)], "path array<struct<tag:string,cls:string,pos:int>>")
+    assert [r.x for r in one.select(P.node_xpath(F.col("path")).alias("x")).collect()] == ["//html[0]/body[contains(@class,'hello')][1]/a", "//", None]
+
+
 def test_text(spark):
     cases = [("http://a/b/c", "/d", True), ("http://a/b/c", "http://a/d", True), ("http://a/b/c", "http://d/e", False)]
     for r in spark.createDataFrame(cases, "s string, t string, e boolean").select(X.in_domain(F.col("s"), F.col("t")).alias("g"), "e").collect():
