@@ -143,18 +143,18 @@ def prefix_sums(values: Column, block: int = 64) -> Column:
 SPANS = "array<struct<s:bigint,e:bigint,v:string,near:string>>"
 
 
-def with_matches(df: DataFrame, text: str, patterns: dict[str, str], near: int = 0) -> DataFrame:
+def with_matches(df: DataFrame, text: str, patterns: dict[str, str], near: int = 0, needs: dict[str, Column] | None = None) -> DataFrame:
     """Adds, for each name, the leftmost non-overlapping matches of its Java pattern as an array of structs. Native.
 
     s, e: code points, end exclusive; v: the match; near: up to `near` characters on either side, the next match
     left out. The text between matches (split) and the matches alternate, so running sums of their lengths give the
     places: every text is read twice at most, however many matches it has. A null text has none.
+    needs: for a name, what holds for every text with a match of its pattern; other texts are not searched for it.
     """
     own = fresh(df, "_m")
     found, gaps, none = own + "f_{}", own + "g_{}", F.array().cast("array<string>")
-    df = df.withColumns(
-        {found.format(k): F.coalesce(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), none) for k, p in patterns.items()}
-    )
+    search = lambda k, p: F.when((needs or {}).get(k, F.lit(True)), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)))
+    df = df.withColumns({found.format(k): F.coalesce(search(k, p), none) for k, p in patterns.items()})
     df = df.withColumns(
         {gaps.format(k): F.when(F.size(found.format(k)) > 0, F.split(F.col(text), p, -1)).otherwise(none) for k, p in patterns.items()}
     )
