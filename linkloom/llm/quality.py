@@ -95,8 +95,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, blend: float =
         count[label, f] += 1
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     own = np.flatnonzero(~hold)
-    x = [ratio[rows[i]] for i in own]
-    x = [v / n if (n := np.linalg.norm(v)) > 0 else v for v in x]
+    # Scaled rows share one array: as arrays of their own they would stay in the process's memory after the fit.
+    end = np.cumsum([len(rows[i]) for i in own])
+    flat = np.empty(end[-1])
+    x = [flat[b - len(rows[i]) : b] for i, b in zip(own, end)]
+    for i, v in zip(own, x):
+        np.take(ratio, rows[i], out=v)
+        v /= np.linalg.norm(v) or 1.0
     sign = np.where(y[own] == 1, 1.0, -1.0)
     # The rarer class weighs as much as the other.
     upper = cost * np.where(sign > 0, len(own) / (2 * (sign > 0).sum()), len(own) / (2 * (sign < 0).sum()))
@@ -165,15 +170,16 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # max_rows rows: a proven bound, so the sample is broadcast and the texts stay in place.
     pick = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key").select(F.col("_key").cast("string"), F.col("_y").cast("int"), "_text")
     found = bounded_batches(pick).mapInArrow(run, "k string, y int, f binary").groupBy("k").agg(F.max("y").alias("y"), F.min("f").alias("f"))
-    rows, y, total = [], [], 0
+    # One buffer for all rows: as objects of their own they would stay in the driver's memory after the fit.
+    flat, ends, y = bytearray(), [0], []
     for r in found.orderBy(F.xxhash64("k"), "k").toLocalIterator():
-        f = np.frombuffer(r.f, np.int32)
-        total += len(f)
-        if rows and total > max_features:
+        if y and len(flat) + len(r.f) > 4 * max_features:
             break
-        rows.append(f)
+        flat += r.f
+        ends.append(len(flat) // 4)
         y.append(r.y)
-    return fit(rows, np.array(y, np.int64))
+    sets = np.frombuffer(flat, np.int32)
+    return fit([sets[a:b] for a, b in zip(ends, ends[1:])], np.array(y, np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import subprocess
 import sys
 import time
 
@@ -479,6 +480,48 @@ def test_quality(spark, edge):
     assert 0 < one.score(np.array([1], np.int32)) < 1
 
 
+#: learn() on rows that Spark would hand to the driver one by one, in a process of its own; prints the MB that stay.
+FIT_MEMORY = """
+import gc, os, re, sys
+import numpy as np
+from linkloom.llm import quality
+
+def mb():
+    gc.collect()
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Row:
+    def __init__(self, rng):
+        self.f, self.y = np.unique(rng.integers(0, 1 << quality.BITS, 1500, np.int32)).tobytes(), int(rng.integers(2))
+
+class Found:
+    def __getattr__(self, _):
+        return lambda *a, **b: self
+    def toLocalIterator(self):
+        rng = np.random.default_rng(1)
+        return (Row(rng) for _ in range(6000))
+
+F = type("F", (), {"__getattr__": lambda self, _: lambda *a, **b: Found.__new__(Any)})()
+class Any(Found):
+    __and__ = __invert__ = __rand__ = __mod__ = __eq__ = __getattr__ = lambda self, *a, **b: self
+    __call__ = __getattr__
+quality.F, quality.held_out, quality.bounded_batches = F, (lambda key: Any()), (lambda df: Found())
+before = mb()
+model = quality.learn(Found(), Found())
+assert len(model.weight) == 1 << quality.BITS and model.weight.any()
+print(mb() - before)
+"""
+
+
+def test_fit_gives_its_memory_back():
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("memory can't be read here")
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    left = subprocess.run([sys.executable, "-c", FIT_MEMORY], env=os.environ | {"PYTHONPATH": repo, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=300)
+    assert not left.returncode, left.stderr
+    assert float(left.stdout) < 60  # the rows and their scaled values have 110 MB
+
+
 # ------------------------------------------------------------------ repeats
 
 
