@@ -14,9 +14,11 @@ sketch lets more windows through to the exact groups and the result stays the sa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,10 @@ DEPTH = 2
 MIN_CELLS, MAX_CELLS, SHARD = 1 << 20, 1 << 28, 1 << 20
 #: Windows that a task sorts at once.
 CHUNK = 1_000_000
+#: Bytes of text whose words are hashed at once.
+SLICE_BYTES = 1 << 20
+#: Windows that are looked up, or answered, at once.
+BLOCK = 1 << 17
 
 
 def _window_stream(batches: Iterator[pa.RecordBatch], k: int, exact: bool) -> Iterator[tuple[np.ndarray, ...]]:
@@ -36,40 +42,63 @@ def _window_stream(batches: Iterator[pa.RecordBatch], k: int, exact: bool) -> It
 
     batches: key (long), text. Rows with a null key take no part.
     """
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[list[np.ndarray]] = [[] for _ in range(2 + exact)]
     n = 0
 
     def out() -> tuple[np.ndarray, ...]:
-        parts = tuple(np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((parts[1], parts[0]))
-        h, d = parts[0][order], parts[1][order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        return tuple(x[order][new] for x in parts)
+        # One column at a time, so that a chunk is never held twice.
+        cols = []
+        for parts in held:
+            cols.append(np.concatenate(parts))
+            parts.clear()
+        order = np.lexsort((cols[1], cols[0]))
+        for i in range(len(cols)):
+            cols[i] = cols[i][order]
+        del order
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = cols[0][1:] != cols[0][:-1]
+        new[1:] |= cols[1][1:] != cols[1][:-1]
+        if not new.all():
+            for i in range(len(cols)):
+                cols[i] = cols[i][new]
+        return tuple(cols)
 
     for batch in batches:
-        for b in slices(batch, batch.schema.names[1]):
+        for b in slices(batch, batch.schema.names[1], SLICE_BYTES):
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            words = [t.split() if t else [] for t in as_bytes(b.column(1))]
+            texts = as_bytes(b.column(1))
             if b.column(0).null_count:
                 valid = b.column(0).is_valid().to_numpy(zero_copy_only=False)
-                words = [w if ok else [] for w, ok in zip(words, valid)]
+                texts = [t if ok else None for t, ok in zip(texts, valid)]
                 keys = np.where(valid, keys, 0)
-            h = word_hashes([w for ws in words for w in ws])
-            lengths = np.array([len(w) for w in words])
+            h, lengths = _hashed(texts)
             w, doc = windows(h, lengths, k)
-            part = (w, keys[doc].astype(np.int64))
+            held[0].append(w)
+            held[1].append(keys[doc].astype(np.int64))
             if exact:
-                part += ((windows(h, lengths, k, 1)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32),)
-            held.append(part)
+                held[2].append((windows(h, lengths, k, 1)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             n += len(w)
+            del texts, h, w, doc
             if n >= CHUNK:
                 yield out()
-                held, n = [], 0
+                n = 0
     if n:
         yield out()
 
 
+def _hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and the number of words of each; a text's words at a time."""
+    lengths = []
+
+    def each(t: bytes | None) -> Iterator[int]:
+        words = t.split() if t else []
+        lengths.append(len(words))
+        return map(xxhash.xxh3_64_intdigest, words)
+
+    h = np.fromiter(chain.from_iterable(map(each, texts)), np.uint64)
+    return h, np.array(lengths, np.int64)
+
+
 def cells_of(h: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (h if row == 0 else mix(h + np.uint64(row))) & np.uint64(cells - 1)
 
@@ -79,16 +108,27 @@ def _sketch(docs: DataFrame, k: int, cells: int) -> np.ndarray:
     shard = min(SHARD, cells)
     per_row = cells // shard
 
+    # Cells of half the bytes, where they fit with a bit for the count.
+    kind = np.uint32 if cells <= 1 << 31 else np.uint64
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _ in _window_stream(batches, k, False):
+        for h, doc in _window_stream(batches, k, False):
+            del doc
             for row in range(DEPTH):
-                at, n = np.unique(cells_of(h, row, cells), return_counts=True)
-                coded = (at.astype(np.uint64) << np.uint64(1)) | (n > 1)
-                cut = np.searchsorted(at, np.arange(per_row + 1, dtype=np.uint64) * np.uint64(shard))
+                at = np.concatenate([cells_of(h[i : i + BLOCK], row, cells).astype(kind) for i in range(0, len(h), BLOCK)])
+                at.sort()
+                first = np.ones(len(at), bool)
+                first[1:] = at[1:] != at[:-1]
+                # A cell's first window is followed by another one of it, if it counts two.
+                more = np.append(~first[1:], False)[first]
+                at = at[first]
+                cut = np.searchsorted(at, (np.arange(per_row + 1, dtype=np.uint64) * np.uint64(shard)).astype(kind))
+                coded = (at << kind(1)) | more
+                del at, first, more
                 ids, data = [], []
                 for i in range(per_row):
                     if cut[i] < cut[i + 1]:
-                        own = (coded[cut[i] : cut[i + 1]] - np.uint64(2 * i * shard)).astype(np.uint32)
+                        own = (coded[cut[i] : cut[i + 1]] - kind(2 * i * shard)).astype(np.uint32)
                         ids.append(row * per_row + i)
                         data.append(pa.compress(np.diff(own, prepend=np.uint32(0)).tobytes(), "zstd", asbytes=True))
                 sizes = [int(cut[i + 1] - cut[i]) for i in range(per_row) if cut[i] < cut[i + 1]]
@@ -138,50 +178,77 @@ def _repeated(docs: DataFrame, k: int, cells: int, bits, parts: int) -> DataFram
     of the same task holds need no answer: they travel by document, in parts of their own.
     """
 
+    def maybe(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(h), bool)
+        for row in range(DEPTH):
+            at = cells_of(h[keep], row, cells).astype(np.int64) + row * cells
+            keep[keep] = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return keep
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
         shift = np.uint64(64 - parts.bit_length() + 1)
         for h, doc, c in _window_stream(batches, k, True):
-            keep = np.ones(len(h), bool)
-            for row in range(DEPTH):
-                at = cells_of(h[keep], row, cells).astype(np.int64) + row * cells
-                keep[keep] = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            h, doc, c = h[keep], doc[keep], c[keep]
+            keep = np.concatenate([maybe(table, h[i : i + BLOCK]) for i in range(0, len(h), BLOCK)])
+            h = h[keep]
+            doc = doc[keep]
+            c = c[keep]
             known = np.zeros(len(h), bool)
             # Sorted by (h, doc): a row after one of the same window has a smaller document before it.
             known[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-            part = np.where(known, parts + (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64), (h >> shift).astype(np.int64) if parts > 1 else 0)
+            part = (h >> shift).astype(np.int32) if parts > 1 else np.zeros(len(h), np.int32)
+            part[known] = parts + (mix(doc[known].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            h, doc, c, part = h[order], doc[order], c[order], part[order]
+            h = h[order]
+            doc = doc[order]
+            c = c[order]
+            part = part[order]
             cut = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else []
-            rows = [
-                (int(part[i]), j - i, _zip(np.diff(h[i:j], prepend=np.uint64(0))), c[i:j].tobytes(), _zip(doc[i:j])) for i, j in zip(cut, cut[1:])
-            ]
-            for i in range(0, len(rows), 512):
-                cols = zip(zip(*rows[i : i + 512]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+            ends = list(zip(cut, cut[1:]))
+            del keep, known, order
+            for a in range(0, len(ends), 128):
+                rows = [
+                    (int(part[i]), j - i, _zip(np.diff(h[i:j], prepend=np.uint64(0))), c[i:j].tobytes(), _zip(doc[i:j])) for i, j in ends[a : a + 128]
+                ]
+                cols = zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in cols], names=["part", "n", "h", "c", "doc"])
+                del rows, cols
+            del h, doc, c, part
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, size = None, ([], [], []), 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            h, c, doc = (np.concatenate(x) for x in zip(*held))
+            cols = []
+            for x in held:
+                cols.append(np.concatenate(x))
+                x.clear()
+            if now < parts:
+                order = np.lexsort((cols[2], cols[1], cols[0]))
+                for i in range(len(cols)):
+                    cols[i] = cols[i][order]
+                del order
+            h, c, doc = cols
+            del cols
             if now < parts:
-                order = np.lexsort((doc, c, h))
-                h, c, doc = h[order], c[order], doc[order]
                 start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
-                first = np.repeat(doc[start], np.diff(np.append(start, len(h))))
-                h, doc = h[doc > first], doc[doc > first]
-            for a in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + 100_000]), pa.array(h[a : a + 100_000].view(np.int64))], names=["doc", "h"])
+                beaten = doc > np.repeat(doc[start], np.diff(np.append(start, len(h))))
+                del start, c
+                h = h[beaten]
+                doc = doc[beaten]
+            for a in range(0, len(h), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + BLOCK]), pa.array(h[a : a + BLOCK].view(np.int64))], names=["doc", "h"])
 
         for b in batches:
             for p, n, h, c, doc in zip(*(x.to_pylist() for x in b.columns)):
-                if p != now or p >= parts and len(held) >= 64:
+                # What needs no answer goes on as soon as it fills a block.
+                if p != now or p >= parts and size >= BLOCK:
                     if now is not None:
                         yield from out()
-                    now, held = p, []
-                held.append((np.cumsum(_unzip(h, n, np.uint64), dtype=np.uint64), np.frombuffer(c, np.int32), _unzip(doc, n, np.int64)))
+                    now, size = p, 0
+                for x, own in zip(held, (np.cumsum(_unzip(h, n, np.uint64), dtype=np.uint64), np.frombuffer(c, np.int32), _unzip(doc, n, np.int64))):
+                    x.append(own)
+                size += n
         if now is not None:
             yield from out()
 

@@ -1,5 +1,6 @@
 """The operators against plain versions, on made and on edge cases."""
 
+import hashlib
 import math
 import os
 import random
@@ -8,6 +9,7 @@ import sys
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -533,3 +535,87 @@ def test_repeats(spark, edge, cells, monkeypatch):
     got = sorted(map(str, ((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.digest(substring.remove_repeats(df, max_cells=cells)).collect())))
     assert got == sorted(map(str, B.repeats(pairs(df))))
     assert substring.remove_repeats(df.limit(0)).count() == 0
+
+
+class Passes:
+    """Stands for a table: keeps the functions that its passes would run on Arrow batches."""
+
+    def __init__(self):
+        self.run = []
+
+    def mapInArrow(self, f, schema):
+        self.run.append(f)
+        return self
+
+    def toLocalIterator(self, **_):
+        return iter(())
+
+    def get(self, name):
+        return "4"
+
+    def __getattr__(self, name):
+        return self if name in ("sparkSession", "conf") else lambda *a: self
+
+
+PASS_MEMORY = """
+import re, sys
+import numpy as np, pyarrow as pa
+from test_operators import Passes
+from linkloom.llm import substring
+
+def mb(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def batches():
+    rng = np.random.default_rng(1)
+    for i in range(16):
+        words = rng.integers(10**6, 10**7, (600, 300))
+        yield pa.RecordBatch.from_pydict({"doc": range(600 * i, 600 * i + 600), "text": [" ".join(map(str, w)) for w in words]})
+
+passes, cells = Passes(), 1 << 22
+class Bits:
+    value = b"\\xff" * (2 * cells // 8)
+substring._sketch(passes, 13, cells) if sys.argv[1] == "sketch" else substring._repeated(passes, 13, cells, Bits, 8)
+before = mb("VmRSS")
+assert sum(b.num_rows for b in passes.run[0](batches()))
+print(mb("VmHWM") - before)
+"""
+
+
+@pytest.mark.parametrize("name", ["sketch", "repeated"])
+def test_repeats_in_little_memory(name):
+    """Of 2.8 million windows a worker holds a chunk and what it makes of it, but not several copies of the chunk."""
+    if not os.path.exists("/proc/self/status"):
+        pytest.skip("memory can't be read here")
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.pathsep.join([os.path.dirname(os.path.dirname(here)), here])
+    peak = subprocess.run([sys.executable, "-c", PASS_MEMORY, name], env=os.environ | {"PYTHONPATH": path, "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, timeout=300)
+    assert not peak.returncode, peak.stderr
+    assert float(peak.stdout) < 140
+
+
+def test_repeats_in_small_pieces(monkeypatch):
+    for name, n in (("CHUNK", 300), ("BLOCK", 7), ("SLICE_BYTES", 500)):
+        monkeypatch.setattr(substring, name, n)
+    rows = near_copies(60, seed=3) + [(60, None), (61, ""), (None, "a " * 20), (70, "p " * 40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 9]), (pa.int64(), pa.string()))], names=["doc", "text"]) for i in range(0, len(rows), 9)]
+    cells = 1 << 10
+    passes = Passes()
+    substring._sketch(passes, 13, cells)
+    build, merge = passes.run
+    shards = pa.Table.from_batches(build(iter(batches))).sort_by("shard").to_batches()
+    bits = b"".join(x for b in merge(iter(shards)) for x in b.column(1).to_pylist())
+    passes = Passes()
+    substring._repeated(passes, 13, cells, type("Bits", (), {"value": bits}), 4)
+    build, merge = passes.run
+    parts = pa.Table.from_batches(build(iter(batches))).sort_by("part").to_batches(max_chunksize=5)
+    lost = {}
+    for b in merge(iter(parts)):
+        for d, h in zip(*(c.to_pylist() for c in b.columns)):
+            lost.setdefault(d, []).append(h)
+    rows = [(i, t) for i, t in rows if i is not None]
+    got = []
+    for i, t in rows:
+        n, gone, kept = substring._kept(t and t.encode(), pa.scalar(lost.get(i), pa.list_(pa.int64())), 13)
+        got.append((i, n, gone, hashlib.sha256(kept).hexdigest()))
+    assert sorted(got) == sorted(B.repeats(rows))
