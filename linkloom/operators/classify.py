@@ -16,19 +16,19 @@ RHO = -2.545709699994723
 FEATURES = tuple("ABCDEFGHIJ")
 
 
-def leaf_features(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """page_url and features A to J.
+def leaf_features(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_url and features A to J. keep: columns to carry that tell pages of one address apart.
 
     A, B: mean over text paths (text paths inside anchors) of the mean trimmed length; C: distinct text paths less D;
     D: distinct anchor text paths; E: largest mean length; F: text paths with a formatting tag less G; G: anchor ones;
     H, I: p and br elements; J: punctuation but < > { } [ ] , over length, summed over texts. A page without
     (anchor) texts has null means.
     """
-    nodes = dom_nodes(pages, html, url).withColumn("xpath", action_of(F.col("path")))
+    nodes = dom_nodes(pages, html, url, keep).withColumn("xpath", action_of(F.col("path")))
     some, trimmed = F.length("text") > 0, F.length(F.trim("text"))
     marks = F.length("text") - F.length(F.regexp_replace("text", r"[!\"#$%&'()*+\-./:;=?@\\^_`|~]", ""))
     # One parse and one exchange: dealt by page, then grouped by page and path, then by page.
-    per = nodes.repartition("page_url").groupBy("page_url", "xpath").agg(
+    per = nodes.repartition(*keep, "page_url").groupBy(*keep, "page_url", "xpath").agg(
         F.avg(F.when(some & (trimmed > 0), trimmed)).alias("m"),
         F.sum(F.when(some, marks / F.length("text"))).alias("punct"),
         F.count_if(F.col("tag") == "p").alias("p"),
@@ -36,7 +36,7 @@ def leaf_features(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
     )
     real = F.col("m").isNotNull()
     anchor, form = F.col("xpath").rlike("/a(?:/|\\[|$)"), F.col("xpath").rlike("|".join(FORMATTING))
-    return per.groupBy("page_url").agg(
+    return per.groupBy(*keep, "page_url").agg(
         F.avg("m").alias("A"),
         F.avg(F.when(anchor, F.col("m"))).alias("B"),
         F.count_if(real & ~anchor).alias("C"),

@@ -139,7 +139,7 @@ def in_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leaf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = classify.leaf_features(read(spark, sf_dir, "pages"))
+    f = classify.leaf_features(read(spark, sf_dir, "pages"), keep=("page_id",))
     return f.select("page_url", *(r6(F.col(x).cast("double")).alias(x.lower()) for x in classify.FEATURES))
 
 
