@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import let
-from linkloom.sources.scratch import drop_table, free_shuffles, materialize  # noqa: F401  (re-exported for the operators)
+from linkloom.sources.scratch import bounded_batches, drop_table, free_shuffles, materialize  # noqa: F401  (re-exported for the operators)
 
 #: Java class of the characters between words.
 SPACE_CLASS = "\\x20\\x09-\\x0D"
@@ -46,21 +44,6 @@ def join_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- Arrow side
 
-#: Bytes of an Arrow batch: a few thousand texts. Spark's default of 64 MB, doubled as buffers grow and held in both
-#: processes of every task, is most of an executor's memory outside its heap.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """Has the session send texts to Python in small batches, unless it was told a smaller size; returns df."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(name, "64m").strip().lower()
-    size = int(re.sub(r"[^0-9]", "", now)) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
-    if not 0 < size <= BATCH_BYTES:
-        conf.set(name, f"{BATCH_BYTES}b")
-    return df
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A prefix, `base` or longer, that no column of df begins with: names made from it clash with none."""
     while any(c.lower().startswith(base.lower()) for c in df.columns):

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions.text import shingles
-from linkloom.sources.html import Node, dom_nodes, parse
-from linkloom.sources.scratch import materialize
+from linkloom.sources.html import Node, dom_nodes, parse, parts
+from linkloom.sources.scratch import bounded_batches, materialize
 
 # ---------------------------------------------------------------- shingles
 
@@ -241,10 +241,11 @@ def tree_similarity(pairs: DataFrame, a: str = "html_a", b: str = "html_b", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = [tree_similarity_of(x, y) for x, y in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sims, pa.float64())], names=[*batch.schema.names, out])
+            for part in parts(batch, [i, j]):
+                sims = [tree_similarity_of(x, y) for x, y in zip(part.column(i).to_pylist(), part.column(j).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sims, pa.float64())], names=[*part.schema.names, out])
 
-    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return bounded_batches(pairs).mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def tree_similarity_of_links(pairs: DataFrame, pages: DataFrame) -> DataFrame:

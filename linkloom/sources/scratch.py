@@ -1,9 +1,10 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and the size of what goes to Python."""
 
 from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -61,6 +62,21 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+#: Bytes of an Arrow batch: a few thousand texts. Spark's default of 64 MB, doubled as buffers grow and held in both
+#: processes of every task, is most of an executor's memory outside its heap.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Has the session send texts to Python in small batches, unless it was told a smaller size; returns df."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, "64m").strip().lower()
+    size = int(re.sub(r"[^0-9]", "", now)) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now.rstrip("b")[-1:], 1)
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of a table that was persisted and is no longer, which no job's end frees: it
     does so when their handles are collected, on the driver alone."""

@@ -1,0 +1,31 @@
+"""What is held at once does not grow with the input."""
+
+import pyarrow as pa
+from linkloom.operators import similarity as S
+from linkloom.sources import html as H
+
+PAGE = "<body>" + "<p>some text<br></p>" * 200
+
+
+def first_of(run, batch, made):
+    """Rows made until the first result comes out, and rows of all results."""
+    out = run(iter([batch]))
+    n = next(out).num_rows
+    early = len(made)
+    return early, n + sum(b.num_rows for b in out)
+
+
+def test_few_pages_are_parsed_at_once(spark, monkeypatch):
+    """A worker held what was made of all pages of a batch, 64 MB of them, which takes many times as much."""
+    taken, made = [], []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: taken.append(run))
+    pages = spark.createDataFrame([], "page_url string, _html string")
+    H._mapped(pages, lambda s: made.append(1) or H.nodes_of(s), "_nodes", H.T.ArrayType(H.NODE), ("_html",))
+    batch = pa.RecordBatch.from_pydict({"page_url": ["u"] * 600, "_html": [PAGE] * 599 + [None]})
+    early, rows = first_of(taken[0], batch, made)
+    assert rows == 600 and early * len(PAGE) <= 2 * H.AT_ONCE
+    assert made.clear() or S.tree_similarity(spark.createDataFrame([], "html_a string, html_b string")) is None
+    monkeypatch.setattr(S, "tree_similarity_of", lambda a, b: made.append(1) or 1.0)
+    early, rows = first_of(taken[1], pa.RecordBatch.from_pydict({"html_a": [PAGE] * 600, "html_b": [PAGE] * 600}), made)
+    assert rows == 600 and 2 * early * len(PAGE) <= 2 * H.AT_ONCE
+    assert sum(b.num_rows for b in taken[0](iter([batch.slice(0, 0)]))) == 0
