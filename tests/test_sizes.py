@@ -1,5 +1,9 @@
 """What is held at once does not grow with the input."""
 
+import math
+import random
+from collections import defaultdict
+
 import pyarrow as pa
 from linkloom.operators import similarity as S
 from linkloom.sources import html as H
@@ -29,3 +33,50 @@ def test_few_pages_are_parsed_at_once(spark, monkeypatch):
     early, rows = first_of(taken[1], pa.RecordBatch.from_pydict({"html_a": [PAGE] * 600, "html_b": [PAGE] * 600}), made)
     assert rows == 600 and 2 * early * len(PAGE) <= 2 * H.AT_ONCE
     assert sum(b.num_rows for b in taken[0](iter([batch.slice(0, 0)]))) == 0
+
+
+def plain_pairs(rows):
+    """a, b: (cosine or None, cardinality) of pages that share an action, pair by pair."""
+    sig = defaultdict(list)
+    for page, xpath, n in rows:
+        sig[page].append((xpath, n))
+    norm = {p: math.sqrt(sum((n or 0) ** 2 for _, n in v)) for p, v in sig.items()}
+    out = {}
+    for a in sig:
+        for b in sig:
+            shared = [(m or 0) * (n or 0) for x, m in sig[a] for y, n in sig[b] if x == y]
+            if a < b and shared:
+                d = norm[a] * norm[b]
+                out[a, b] = (round(sum(shared) / d, 9) if d else None, round(len(shared) / math.sqrt(len(sig[a]) * len(sig[b])), 9))
+    return out
+
+
+def test_signature_pairs_are_neither_joined_nor_shuffled(spark, monkeypatch):
+    """Every pair was a row of a join for each action that it shares, and all were dealt by pair."""
+    rng = random.Random(5)
+    rows = [(f"p{i:03}", f"x{x}", rng.choice([0, 1, 2, 5])) for i in range(60) for x in rng.sample(range(40), rng.randint(1, 6))]
+    rows += [("zero", "x1", 0), ("twice", "x2", 1), ("twice", "x2", 3), ("alone", "none", 2), ("é", "x3", 4)]
+    sig = spark.createDataFrame([*rows, (None, "x1", 1)], "page string, xpath string, n long")
+    for block in (7, 1024):
+        monkeypatch.setattr(S, "BLOCK", block)
+        got = S.signature_similarities(sig)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert 0 < plan.index("MapInArrow") < plan.index("Exchange") and "Join" not in plan
+        found = [((r.a, r.b), (r.cosine and round(r.cosine, 9), round(r.cardinality, 9))) for r in got.collect()]
+        assert len(found) == len(dict(found)) and dict(found) == plain_pairs(rows)
+    assert S.signature_similarities(sig.limit(0)).count() == 0
+
+
+def test_signature_cells_of_many_actions(monkeypatch):
+    """Matrices of a cell are made for so many actions and left pages at once."""
+    monkeypatch.setattr(S, "ACTIONS", 3)
+    monkeypatch.setattr(S, "STRIP", 2)
+    rng = random.Random(6)
+    rows = [(i, f"x{x}", rng.randint(1, 5)) for i in range(12) for x in rng.sample(range(20), 5)]
+    for side in (lambda i: False, lambda i: i >= 7):
+        v = [[{"xpath": x, "n": float(n)} for q, x, n in rows if q == i] for i in range(12)]
+        norm = [math.sqrt(sum(e["n"] ** 2 for e in x)) for x in v]
+        cols = {"cell": [0] * 12, "side": [side(i) for i in range(12)], "page": list(range(12)), "norm": norm, "size": [5.0] * 12, "v": v}
+        batch = pa.RecordBatch.from_pydict(cols)
+        got = {(r["a"], r["b"]): (round(r["cosine"], 9), round(r["cardinality"], 9)) for b in S._compared([batch.slice(0, 4), batch.slice(4)]) for r in b.to_pylist()}
+        assert got == {k: x for k, x in plain_pairs(rows).items() if side(11) is False or not side(k[0]) and side(k[1])}
