@@ -36,15 +36,114 @@ def _hashed(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return own.withColumn("set", F.unhex(F.md5(F.array_join(F.transform("h", lambda x: x.cast("string")), ",").cast("binary"))))
 
 
+#: Grams in more prefixes than this come last in the order, and rounds in which such are looked for. Both only save
+#: work: prefixes of any order find all similar sets.
+OFTEN, ROUNDS = 16, 4
+#: Numbers of 64 bits that go to every task at once, at most.
+SHARED = 4_000_000
+
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a batch's sets one after another, and the number of each set's."""
+    h = batch.column(batch.schema.get_field_index("h"))
+    return pc.list_flatten(h).to_numpy(zero_copy_only=False), pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each number is one of the sorted ones."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _prefix_rows(sets: DataFrame, num: int, den: int, often: np.ndarray) -> DataFrame:
+    """Rows set, size, gram: the first grams of each set (seldom ones first, then by hash), one of which any similar set
+    shares. Where a set has several rows, so have its grams."""
+    known = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, n = _lists(b)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.argsort(row * 2 + _among(x, known.value), kind="stable")
+            place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            keep = order[place < np.repeat(n - (n * num + den - 1) // den + 1, n)]
+            of = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(n[row[keep]].astype(np.int32)), pa.array(x[keep])], names=["set", "size", "gram"])
+
+    return sets.select("set", "h").mapInArrow(run, "set binary, size int, gram long")
+
+
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows set, size, gram: the rarest grams of each set, one of which any similar set shares."""
-    flat = sets.select("set", F.size("h").alias("size"), F.explode("h").alias("gram"))
-    # Most grams occur once; only the others have to be told.
-    df = flat.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = flat.join(df, "gram", "left").groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram"))).alias("g"))
-    keep = F.size("g") - F.ceil(F.col("size") * num / F.lit(float(den)) - 1e-9).cast("int") + 1
-    few = ranked.filter(keep > 0).select("set", "size", F.explode(F.slice("g", F.lit(1), keep)).alias("x"))
-    return few.filter("x.df > 1").select("set", "size", F.col("x.gram").alias("gram"))
+    """_prefix_rows() of an order in which grams of many sets' prefixes come last, as far as SHARED allows.
+
+    Only prefixes are counted, a tenth of all grams for nine tenths of similarity; what moves up instead of a frequent
+    gram is looked at in the next round.
+    """
+    often = np.zeros(0, np.int64)
+    for _ in range(ROUNDS):
+        rows = _prefix_rows(sets, num, den, often).select("gram", F.xxhash64("set").alias("s"))
+        # Several sets, not copies of one.
+        n = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("s").alias("x"), F.max("s").alias("y")).filter((F.col("n") > OFTEN) & (F.col("x") != F.col("y")))
+        found = np.array(n.orderBy(F.desc("n"), "gram").limit(SHARED).select("gram").toArrow().column(0).to_numpy(), np.int64)
+        new = found[~_among(found, often)][: SHARED - len(often)]
+        if not len(new):
+            break
+        often = np.sort(np.concatenate((often, new)))
+    return _prefix_rows(sets, num, den, often)
+
+
+def _parities(sets: DataFrame) -> DataFrame:
+    """set, n and bits: parities of the members in 2**j cells, as many as members or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, n = _lists(b)
+            end = np.cumsum(n)
+            # The hashes' own bits: they are as good as random.
+            cells = [(x[j - k : j] & (max(64, 1 << int(k - 1).bit_length()) - 1), max(64, 1 << int(k - 1).bit_length())) for j, k in zip(end, n)]
+            bits = [np.packbits(np.bincount(c, minlength=m) & 1, bitorder="little").tobytes() for c, m in cells]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(bits, pa.binary())], names=["set", "n", "bits"])
+
+    return sets.select("set", "h").mapInArrow(run, "set binary, n long, bits binary").dropDuplicates(["set"])
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Cells in which two parities differ, the longer one folded onto the shorter: at most the members of only one set."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that parities do not rule out; exact: similar sets differ in (na + nb) * (den - num) / (den + num)
+    members at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [bits_apart(x, y) * (den + num) <= (m + n) * (den - num) for m, n, x, y in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    p = _parities(sets)
+    full = pairs.join(p.select(F.col("set").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a").join(p.select(F.col("set").alias("b"), "n", F.col("bits").alias("y")), "b")
+    return full.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set and h of the sets in pairs, each once. Other sets are left out where they lie, as far as SHARED names tell."""
+    names = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    own = names.select(F.xxhash64("set").alias("s")).limit(SHARED + 1).toArrow().column(0).to_numpy()
+    picked = sets.select("set", "h")
+    if len(own) <= SHARED:
+        known = sets.sparkSession.sparkContext.broadcast(np.sort(own))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.select(["set", "h"]).filter(pa.array(_among(b.column(2).to_numpy(), known.value)))
+
+        picked = picked.withColumn("s", F.xxhash64("set")).mapInArrow(run, "set binary, h array<long>")
+    return picked.dropDuplicates(["set"])
 
 
 def near_duplicate_sets(
@@ -53,17 +152,19 @@ def near_duplicate_sets(
     """(names, names of right, links): doc and set of every document with shingles; a < b, inter, na, nb of different
     sets that are alike by num/den or more (exact whole numbers; shingles are compared by 64-bit hashes).
 
-    Texts are read once. Only rare prefixes of the sets are joined, so frequent shingles make no pairs; candidates are
-    verified on whole sets. Equal sets are one set, so copies make no links.
+    Texts are read once, and sets stay where they lie: only prefixes of them are joined, in which frequent shingles come last;
+    parities rule out most candidates, and whole sets travel for the rest. Equal sets are one set, so copies make no links.
     """
     own = materialize(_hashed(left, key, text, k), "shingles")
     other = own if right is None else materialize(_hashed(right, right_key or key, right_text or text, k), "shingles")
-    every = own.select("set", "h") if right is None else own.select("set", "h").unionByName(other.select("set", "h"))
-    sets = materialize(every.groupBy("set").agg(F.first("h").alias("h")), "sets")
-    pre = materialize(_prefixes(sets, num, den), "prefixes")
+    every = bounded_batches(own.select("set", "h") if right is None else own.select("set", "h").unionByName(other.select("set", "h")))
+    # Dealt by gram once, for both sides.
+    pre = _prefixes(every, num, den).repartition("gram").dropDuplicates(["gram", "set"])
     x, y = pre.alias("x"), pre.alias("y")
     near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
     cand = x.join(y, near).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    cand = materialize(_plausible(cand, every, num, den), "candidates")
+    sets = _named(every, cand)
     full = cand.join(sets.select(F.col("set").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("set").alias("b"), F.col("h").alias("hb")), "b")
     full = full.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("inter"), F.size("ha").alias("na"), F.size("hb").alias("nb"))
     links = full.filter(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter")))

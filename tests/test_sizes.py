@@ -2,7 +2,8 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import pyarrow as pa
 from linkloom.operators import similarity as S
@@ -80,3 +81,36 @@ def test_signature_cells_of_many_actions(monkeypatch):
         batch = pa.RecordBatch.from_pydict(cols)
         got = {(r["a"], r["b"]): (round(r["cosine"], 9), round(r["cardinality"], 9)) for b in S._compared([batch.slice(0, 4), batch.slice(4)]) for r in b.to_pylist()}
         assert got == {k: x for k, x in plain_pairs(rows).items() if side(11) is False or not side(k[0]) and side(k[1])}
+
+
+def test_near_duplicates_move_prefixes_only(spark, monkeypatch):
+    """Whole sets were written twice and dealt out four times; and a passage of many texts makes no candidates."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    common = " ".join(rng.choices(words, k=60))
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 300))) for _ in range(150)]
+    texts += [f"{common} {' '.join(rng.choices(words, k=40))}" for _ in range(40)]
+    for t in rng.sample(texts, 40):
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts += [" ".join(w), t]
+    texts += ["", "a b c", common, common]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    made = []
+
+    def written(df, name):
+        out = S_materialize(df, name)
+        made.append((name, sum(f.stat().st_size for f in Path(out._scratch.removeprefix("file:")).glob("*.parquet"))))
+        return out
+
+    S_materialize = S.materialize
+    monkeypatch.setattr(S, "materialize", written)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for num, den in ((9, 10), (1, 2)):
+        got = {(r.a, r.b): (r.inter, r.size_a, r.size_b) for r in S.near_duplicate_pairs(docs, num=num, den=den).collect()}
+        alike = {(a, b): (len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] & sets[b]}
+        assert got == {k: v for k, v in alike.items() if den * v[0] >= num * (v[1] + v[2] - v[0])}
+    one = made[: len(made) // 2]
+    assert sum(n for _, n in one) < 1.4 * dict(one)["shingles"]
+    pre = S._prefixes(S._hashed(docs, "doc_id", "text", 4).select("set", "h"), 9, 10).collect()
+    assert max(Counter(r.gram for r in pre if r.size > 90).values()) <= 2 * S.OFTEN
