@@ -116,25 +116,26 @@ def estimate_yield(sequences: DataFrame, docs: DataFrame, n_links: DataFrame, pa
     docs: url, src_url, path, leaf. n_links: url, action, n (links of a page at an action). From the leaves at the
     sequence's end back to the entry, only pages that were sources of the step after count; a step's factor is the
     largest n of its pages at the next action, times `boost` where the place has pagination (paging: src_path); no page
-    makes it 0. Ancestors are found by doubling, so the rounds grow with the logarithm of the longest sequence.
+    makes it 0. Ancestors are found by doubling, so the rounds grow with the logarithm of the longest sequence; pages go
+    by a number there, not by address and path.
     """
     if longest is None:
         longest = sequences.agg(F.max(F.size("actions"))).first()[0] or 0
-    pages = docs.select("url", "src_url", "path").distinct()
-    above = pages.select(F.col("url").alias("up_url"), F.col("path").alias("up"))
-    hop = pages.join(above, (F.col("src_url") == F.col("up_url")) & (source_path(F.col("path")) == F.col("up")) & (F.size("path") > 0)).select("url", "path", "up_url", "up")
-    hop = materialize(hop, "hops")
-    reach = materialize(sequences.join(docs.filter("leaf").select("url", "path"), F.col("actions") == F.col("path")).select("seq_id", "url", "path").distinct(), "reach")
+    own = docs.filter("url is not null and path is not null").groupBy("url", "path").agg(F.bool_or("leaf").alias("leaf"), F.collect_set("src_url").alias("src"))
+    pages = materialize(own.withColumn("id", F.monotonically_increasing_id()), "pages")
+    below = pages.filter(F.size("path") > 0).select("id", F.explode("src").alias("src"), source_path(F.col("path")).alias("at"))
+    above = pages.select(F.col("id").alias("up"), "url", "path")
+    hop = materialize(below.join(above, (F.col("src") == F.col("url")) & (F.col("at") == F.col("path"))).select("id", "up"), "hops")
+    reach = materialize(sequences.join(pages.filter("leaf").select("id", "path"), F.col("actions") == F.col("path")).select("seq_id", "id").distinct(), "reach")
     span = 1
     while span <= longest:
-        further = reach.join(hop, ["url", "path"]).select("seq_id", F.col("up_url").alias("url"), F.col("up").alias("path"))
+        further = reach.join(hop, "id").select("seq_id", F.col("up").alias("id"))
         reach, span = materialize(reach.unionByName(further).distinct(), "reach"), 2 * span
         if span <= longest:
-            x, y = hop.alias("x"), hop.alias("y")
-            twice = x.join(y, (F.col("x.up_url") == F.col("y.url")) & (F.col("x.up") == F.col("y.path")))
-            hop = materialize(twice.select("x.url", "x.path", "y.up_url", "y.up"), "hops")
-    met = reach.join(sequences.select("seq_id", "actions"), "seq_id").filter(F.size("path") < F.size("actions"))
-    met = met.withColumn("action", action_at(F.col("actions"), F.col("path"))).withColumn("k", F.size("path"))
+            hop = materialize(hop.withColumnRenamed("up", "_via").join(hop.withColumnRenamed("id", "_via"), "_via").select("id", "up").distinct(), "hops")
+    # A page that is reached has the last k of the sequence's actions as its path.
+    met = reach.join(pages.select("id", "url", F.size("path").alias("k")), "id").join(sequences.select("seq_id", "actions"), "seq_id").filter(F.col("k") < F.size("actions"))
+    met = met.withColumn("action", F.get(F.reverse("actions"), F.col("k")))
     best = met.join(n_links.select("url", "action", "n"), ["url", "action"], "left").groupBy("seq_id", "k").agg(F.max(F.coalesce("n", F.lit(0))).alias("best"))
     steps = sequences.select("seq_id", F.size("actions").alias("len"), F.posexplode(model_steps(F.col("actions"))).alias("k", "step"))
     if paging is not None:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from linkloom.operators import similarity as S
+from linkloom.plans import model as M
 from linkloom.sources import html as H
 
 PAGE = "<body>" + "<p>some text<br></p>" * 200
@@ -114,3 +115,16 @@ def test_near_duplicates_move_prefixes_only(spark, monkeypatch):
     assert sum(n for _, n in one) < 1.4 * dict(one)["shingles"]
     pre = S._prefixes(S._hashed(docs, "doc_id", "text", 4).select("set", "h"), 9, 10).collect()
     assert max(Counter(r.gram for r in pre if r.size > 90).values()) <= 2 * S.OFTEN
+
+
+def test_ancestors_are_numbers(spark, monkeypatch):
+    """Every round of the doubling wrote and dealt out addresses and paths of pages and of those above them."""
+    tables = {}
+    real = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name: tables.setdefault(name, []).append(df.dtypes) or real(df, name))
+    seqs = spark.createDataFrame([(1, ["c", "b", "a"]), (2, ["b", "a"]), (3, ["x"])], "seq_id long, actions array<string>")
+    rows = [("r", None, [], False), ("p", "r", ["a"], False), ("p", "r2", ["a"], False), ("q", "p", ["b", "a"], True), ("q", "p", ["b", "a"], False), ("s", "q", ["c", "b", "a"], True), ("t", "gone", ["x"], True)]
+    docs = spark.createDataFrame(rows, "url string, src_url string, path array<string>, leaf boolean")
+    n = spark.createDataFrame([("r", "a", 2), ("p", "b", 3), ("q", "c", 5), ("t", "x", 7)], "url string, action string, n long")
+    assert {r.seq_id: r["yield"] for r in M.estimate_yield(seqs, docs, n).collect()} == {1: 30, 2: 6, 3: 0}
+    assert len(tables["hops"]) > 1 and {t for name in ("hops", "reach") for dtypes in tables[name] for _, t in dtypes} == {"bigint"}
