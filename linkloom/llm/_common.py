@@ -81,6 +81,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted. np.unique() gives the same through a hash table, which takes many times as long."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def ordered(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """np.lexsort() by `first`, then the rest in turn, where few values of `first` repeat: only those look at the rest."""
+    order = np.argsort(first)
+    same = first[order[1:]] == first[order[:-1]]
+    tied = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same))) if same.any() else []
+    if len(tied):
+        at = np.sort(order[tied])
+        order[tied] = at[np.lexsort((*(x[at] for x in reversed(rest)), first[at]))]
+    return order
+
+
 def windows(h: np.ndarray, lengths: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of k consecutive items that stay inside one document, and the document's index of each.
 

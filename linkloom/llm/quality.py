@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, bounded_batches, mix
+from ._common import as_bytes, bounded_batches, distinct, mix
 
 BITS = 20
 #: The fit's bounds, parameters of learn(): labelled rows, and features of them all.
@@ -59,7 +59,7 @@ def features(text: bytes | None) -> np.ndarray:
         parts += [_hash(h, 2), _hash(h[:-1] * np.uint64(31) + h[1:], 3), _hash(shape, 4)]
         parts += [_hash(shape[:-1] << np.uint64(8) | shape[1:], 5)]
         parts += [_hash(shape[:-2] << np.uint64(16) | shape[1:-1] << np.uint64(8) | shape[2:], 6)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
+    return distinct(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
 
 
 @dataclass
